@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, quality_rules
+from . import language_id, line_dedup, quality_rules, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,10 +18,15 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op7_line_dedup": _over("documents", line_dedup.op7_line_dedup),
         "op8_quality_rules": _over("documents", quality_rules.op8_quality_rules),
+        "op9_url_filter": _over("pages", url_filter.filter_urls),
         "op10_language_id": _over("documents", language_id.op10_language_id),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality_rules.oracle()}
+    return {
+        "op7_line_dedup": line_dedup.ORACLE,
+        "op8_quality_rules": quality_rules.oracle(),
+    }
