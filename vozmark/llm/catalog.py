@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, line_dedup, quality_rules, url_filter
+from . import decontamination, language_id, line_dedup, quality_rules, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,9 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op5_decontamination": lambda spark, sf_dir: decontamination.op5_decontamination(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+        ),
         "op7_line_dedup": _over("documents", line_dedup.op7_line_dedup),
         "op8_quality_rules": _over("documents", quality_rules.op8_quality_rules),
         "op9_url_filter": _over("pages", url_filter.filter_urls),
@@ -27,6 +30,9 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_decontamination": lambda spark, sf_dir: decontamination.op5_decontamination(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+        ),
         "op7_line_dedup": line_dedup.ORACLE,
         "op8_quality_rules": quality_rules.oracle(),
     }
