@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, line_dedup, quality_rules, url_filter
+from . import (
+    decontamination,
+    language_id,
+    line_dedup,
+    quality_rules,
+    token_count,
+    url_filter,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +25,7 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_token_count": _over("documents", token_count.op2_token_count),
         "op5_decontamination": lambda spark, sf_dir: decontamination.op5_decontamination(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
         ),
@@ -30,6 +38,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_token_count": _over("documents", token_count.op2_token_count),
         "op5_decontamination": lambda spark, sf_dir: decontamination.op5_decontamination(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
         ),
