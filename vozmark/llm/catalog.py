@@ -12,6 +12,7 @@ from . import (
     line_dedup,
     quality_rules,
     token_count,
+    toxicity,
     url_filter,
 )
 from .common import table
@@ -25,6 +26,9 @@ def _over(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": lambda spark, sf_dir: toxicity.op1_toxicity(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+        ),
         "op2_token_count": _over("documents", token_count.op2_token_count),
         "op5_decontamination": lambda spark, sf_dir: decontamination.op5_decontamination(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -38,6 +42,9 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_toxicity": lambda spark, sf_dir: toxicity.op1_toxicity(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+        ),
         "op2_token_count": _over("documents", token_count.op2_token_count),
         "op5_decontamination": lambda spark, sf_dir: decontamination.op5_decontamination(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
