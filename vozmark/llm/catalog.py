@@ -10,6 +10,7 @@ from . import (
     decontamination,
     language_id,
     line_dedup,
+    near_dedup,
     quality_rules,
     token_count,
     toxicity,
@@ -33,6 +34,7 @@ def queries() -> dict[str, Query]:
         "op5_decontamination": lambda spark, sf_dir: decontamination.op5_decontamination(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
         ),
+        "op6_near_dedup": _over("documents", near_dedup.near_duplicates),
         "op7_line_dedup": _over("documents", line_dedup.op7_line_dedup),
         "op8_quality_rules": _over("documents", quality_rules.op8_quality_rules),
         "op9_url_filter": _over("pages", url_filter.filter_urls),
@@ -49,6 +51,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontamination": lambda spark, sf_dir: decontamination.op5_decontamination(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
         ),
+        "op6_near_dedup": _over("documents", near_dedup.near_duplicates),
         "op7_line_dedup": line_dedup.ORACLE,
         "op8_quality_rules": quality_rules.oracle(),
     }
