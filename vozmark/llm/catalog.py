@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    chat_format,
     decontamination,
     language_id,
     line_dedup,
+    mixing,
     near_dedup,
     quality_rules,
     token_count,
@@ -31,6 +33,10 @@ def queries() -> dict[str, Query]:
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
         ),
         "op2_token_count": _over("documents", token_count.op2_token_count),
+        "op3_mixing": lambda spark, sf_dir: mixing.op3_mixing(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+        ),
+        "op4_chat_format": _over("conversations", chat_format.op4_chat_format),
         "op5_decontamination": lambda spark, sf_dir: decontamination.op5_decontamination(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
         ),
@@ -48,6 +54,10 @@ def oracle_sql() -> dict[str, str]:
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
         ),
         "op2_token_count": _over("documents", token_count.op2_token_count),
+        "op3_mixing": lambda spark, sf_dir: mixing.op3_mixing(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+        ),
+        "op4_chat_format": _over("conversations", chat_format.op4_chat_format),
         "op5_decontamination": lambda spark, sf_dir: decontamination.op5_decontamination(
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
         ),
