@@ -1,18 +1,704 @@
-"""Queries over the driver's tables and the same in SQL."""
+"""Queries over the driver's tables and the same in SQL.
+
+The tables hold no audio: characters of documents stand for phones, embeddings for frames
+or spectra, events for annotations or turns. Every query reads its whole tables.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import config as C
+from ..functions import text as X
+from ..operators import evaluate as E
+from ..operators import labels as L
+from ..operators import phones as P
+from ..operators import selection as S
+from ..operators import vectors as V
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+KINDS = ["click", "purchase", "scroll", "signup", "view"]
+FRUITLESS = "error"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        def run(spark, sf_dir):
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        _QUERIES[f.__name__] = run
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+# ---- labels -------------------------------------------------------------------------
+
+_FOLD = "SELECT user_id, " + ", ".join(
+    f"max_by(value, ts) FILTER (WHERE event_type = '{k}') AS {k}" for k in KINDS
+) + " FROM events GROUP BY user_id"
+
+
+def _fold(t):
+    return L.latest_by_kind(t("events"), "user_id", "event_type", "value", "ts", KINDS)
+
+
+@query(_FOLD)
+def latest_wins_fold(t):
+    return _fold(t)
+
+
+@query(f"SELECT user_id FROM ({_FOLD}) WHERE coalesce({', '.join(KINDS)}) IS NOT NULL")
+def fold_any_label(t):
+    return _fold(t).where(F.coalesce(*KINDS).isNotNull()).select("user_id")
+
+
+@query(f"SELECT user_id, click, view FROM ({_FOLD}) WHERE click > 50")
+def fold_value_filter(t):
+    return _fold(t).where("click > 50").select("user_id", "click", "view")
+
+
+@query("SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'error' AND event_type = 'click'")
+def rows_filter_marker(t):
+    return t("events").where((F.col("event_type") != FRUITLESS) & (F.col("event_type") == "click")).select(
+        "event_id", "user_id", "event_type"
+    )
+
+
+@query("""
+WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL),
+r AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY n DESC) AS k FROM c)
+SELECT user_id, CASE WHEN count(*) > 1 THEN '' ELSE max(event_type) END AS winner,
+       (CASE WHEN count(*) > 1 THEN 0 ELSE max(n) END)::BIGINT AS agree
+FROM r WHERE k = 1 GROUP BY user_id""")
+def consensus_vote(t):
+    return L.majority(t("events"), ["user_id"], "event_type")
+
+
+@query("""
+SELECT o_custkey, string_agg(DISTINCT o_orderpriority, '; ' ORDER BY o_orderpriority) AS annotators
+FROM orders GROUP BY o_custkey""")
+def annotator_list(t):
+    return t("orders").groupBy("o_custkey").agg(
+        F.array_join(F.array_sort(F.collect_set("o_orderpriority")), "; ").alias("annotators")
+    )
+
+
+@query("""
+SELECT o_orderstatus, marker, value, count(*) AS n FROM (
+  SELECT o_orderstatus, 'o_orderpriority' AS marker, o_orderpriority AS value FROM orders
+  UNION ALL SELECT o_orderstatus, 'o_orderstatus', o_orderstatus FROM orders)
+WHERE trim(value) <> '' GROUP BY ALL""")
+def label_summary(t):
+    rows = t("orders").withColumn("status", F.col("o_orderstatus"))
+    out = L.summary(rows.select("status", "o_orderpriority", "o_orderstatus"), ["status"], ["o_orderpriority", "o_orderstatus"])
+    return out.withColumnRenamed("status", "o_orderstatus")
+
+
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("""
+WITH p(k, name) AS (VALUES """ + ", ".join(f"({i}, '{p}')" for i, p in enumerate(_PRIORITIES)) + """),
+s AS (SELECT c_custkey, k, name, EXISTS (
+        SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = name) AS seen
+      FROM customer, p)
+SELECT c_custkey, string_agg(name, ' ' ORDER BY k) FILTER (WHERE NOT seen) AS missing,
+       coalesce(string_agg(name, ' ' ORDER BY name) FILTER (WHERE seen), '') AS have
+FROM s GROUP BY c_custkey HAVING bool_or(NOT seen)""")
+def todo_missing(t):
+    seen = t("customer").select("c_custkey").join(
+        t("orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority"), "c_custkey", "left"
+    )
+    flags = seen.select("c_custkey", *[(F.col("o_orderpriority") == p).alias(p) for p in _PRIORITIES])
+    return L.todo(flags, ["c_custkey"], _PRIORITIES)
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def multi_annotated(t):
+    return t("orders").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("SELECT lang, count(*) AS n, count(DISTINCT source) AS n_sources FROM documents GROUP BY lang")
+def dataset_profile(t):
+    return t("documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"))
+
+
+# ---- filters, routing, quotas -------------------------------------------------------
+
+
+@query("SELECT doc_id, lang FROM documents WHERE trim(coalesce(lang, '')) = '' OR lang = 'de'")
+def variant_filter(t):
+    lang = F.coalesce("lang", F.lit(""))
+    return t("documents").where((F.trim(lang) == "") | (lang == "de")).select("doc_id", "lang")
+
+
+@query("""
+SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id, max_by(event_type, (ts, event_id)) AS event_type
+FROM events GROUP BY user_id""")
+def dedupe_last_wins(t):
+    return S.last_wins(t("events").select("user_id", "event_id", "event_type", "ts"), "user_id", ["ts", "event_id"]).drop("ts")
+
+
+_ROUTE = r"^[a-z]+://([^/]+)/([a-z]+)/([0-9]+)"
+
+
+@query(rf"""
+SELECT page_id, CASE WHEN regexp_matches(url, '{_ROUTE}') THEN regexp_extract(url, '{_ROUTE}', 2) ELSE 'reject' END AS section,
+       regexp_extract(url, '{_ROUTE}', 1) AS speaker, regexp_extract(url, '{_ROUTE}', 3) AS file,
+       len(string_split(url, '/'))::INT AS n_parts
+FROM pages""")
+def route_paths(t):
+    part = lambda i: F.regexp_extract("url", _ROUTE, i)
+    return t("pages").select(
+        "page_id",
+        F.when(F.col("url").rlike(_ROUTE), part(2)).otherwise("reject").alias("section"),
+        part(1).alias("speaker"),
+        part(3).alias("file"),
+        F.size(F.split("url", "/")).alias("n_parts"),
+    )
+
+
+@query("SELECT c_custkey, string_split(c_name, '#')[1] AS speaker FROM customer")
+def stem_speaker(t):
+    return t("customer").select("c_custkey", F.substring_index("c_name", "#", 1).alias("speaker"))
+
+
+@query("SELECT DISTINCT unnest(regexp_extract_all(url, '[0-9]+')) AS episode FROM pages")
+def episode_ids(t):
+    return t("pages").select(F.explode(F.regexp_extract_all("url", F.lit("[0-9]+"), 0)).alias("episode")).distinct()
+
+
+@query(r"SELECT p_partkey, regexp_replace(p_name, '[^\p{L}\p{N}\-_.]', '_', 'g') AS name FROM part")
+def safe_names(t):
+    return t("part").select("p_partkey", S.safe_name(F.col("p_name")).alias("name"))
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE doc_id BETWEEN 0 AND 49 OR doc_id = 59 OR doc_id BETWEEN 99 AND 119")
+def sentence_ranges(t):
+    docs = t("documents")
+    spans = docs.sparkSession.createDataFrame(X.ranges("1-50,60,100-120"), "lo long, hi long")
+    ids = spans.select(F.explode(F.sequence("lo", F.col("hi") - 1)).alias("doc_id"))
+    return docs.join(ids, "doc_id", "left_semi").select("doc_id", "n_chars")
+
+
+@query("""
+SELECT o_orderkey, o_custkey FROM orders
+WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(*) >= 12)""")
+def speakers_min_clips(t):
+    return S.keep_frequent(t("orders").select("o_orderkey", "o_custkey"), "o_custkey", 12)
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 20")
+def top_speakers(t):
+    return S.top_keys(t("orders"), "o_custkey", 20)
+
+
+@query("""
+SELECT o_custkey, o_orderkey FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 3""")
+def cap_per_speaker(t):
+    return S.cap_per_key(t("orders").select("o_custkey", "o_orderkey"), "o_custkey", ["o_orderkey"], 3)
+
+
+@query("SELECT o_custkey, min(o_orderkey) AS first_seq FROM orders GROUP BY o_custkey ORDER BY 2, 1 LIMIT 25")
+def first_n_speakers(t):
+    return S.first_keys(t("orders"), "o_custkey", "o_orderkey", 25)
+
+
+@query("""
+SELECT c_custkey, c_mktsegment, c_custkey AS first_seq FROM customer
+QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) <= 8""")
+def balanced_quota(t):
+    rows = t("customer").select("c_custkey", "c_mktsegment", F.col("c_custkey").alias("seq"))
+    return S.balanced_keys(rows, "c_custkey", "c_mktsegment", "seq", 41, 5)
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_suppkey, l_returnflag FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber) AS r FROM lineitem)
+WHERE l_returnflag <> 'R' OR r <= 5""")
+def cap_wav_keep_rest(t):
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
+    capped = S.cap_per_key(rows.where("l_returnflag = 'R'"), "l_suppkey", ["l_orderkey", "l_linenumber"], 5)
+    return capped.unionByName(rows.where("l_returnflag <> 'R'"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 50")
+def deterministic_sample(t):
+    return S.hash_sample(t("documents").select("doc_id"), "doc_id", 50)
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 100")
+def head_n(t):
+    return t("events").orderBy("event_id").limit(100).select("event_id", "user_id")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber FROM lineitem
+WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
+def semi_join_two_phase(t):
+    hits = t("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return t("lineitem").select("l_orderkey", "l_linenumber").join(hits, "l_orderkey", "left_semi")
+
+
+@query("""
+SELECT o_orderkey, coalesce(c_name, '') AS text FROM orders
+LEFT JOIN (SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey""")
+def metadata_left_join(t):
+    names = t("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return t("orders").join(names, "o_custkey", "left").select("o_orderkey", F.coalesce("c_name", F.lit("")).alias("text"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def missing_rows_anti(t):
+    return t("customer").select("c_custkey").join(t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+
+
+_ALLOWED = ["BRAZIL", "FRANCE", "ATLANTIS", "NATION_3"]
+
+
+@query("SELECT unnest(['BRAZIL', 'FRANCE', 'ATLANTIS', 'NATION_3']) AS name EXCEPT SELECT n_name FROM nation")
+def allowlist_validate(t):
+    nation = t("nation")
+    asked = nation.sparkSession.createDataFrame([(n,) for n in _ALLOWED], "name string")
+    return asked.join(nation.select(F.col("n_name").alias("name")), "name", "left_anti")
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%.1f B', n_chars::DOUBLE) ELSE printf('%.1f KB', round(n_chars / 1024.0::DOUBLE, 1)) END AS size FROM documents")
+def human_sizes(t):
+    return t("documents").select("doc_id", S.human_size(F.col("n_chars")).alias("size"))
+
+
+# ---- frames, spikes, markers --------------------------------------------------------
+
+
+@query("SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INT AS token FROM embeddings")
+def frame_argmax(t):
+    return t("embeddings").select("vec_id", P.argmax("embedding").alias("token"))
+
+
+_CHARS = """chars AS (
+  SELECT doc_id, unnest(range(len(cs))) AS t, unnest(cs) AS token
+  FROM (SELECT doc_id, string_split(lower(text), '') AS cs FROM documents WHERE text <> '')),
+prev AS (SELECT *, lag(token) OVER (PARTITION BY doc_id ORDER BY t) AS p FROM chars),
+spikes AS (SELECT doc_id, t, token FROM prev WHERE token <> ' ' AND (p IS NULL OR p <> token)),
+ctx AS (SELECT *, lead(token, 1, '') OVER (PARTITION BY doc_id ORDER BY t) AS next_phone FROM spikes)"""
+
+
+def _spiked(t):
+    """(doc_id, s): spikes of each text as an array; no shuffle."""
+    chars = F.split(F.lower("text"), "")
+    rows = t("documents").where("text <> ''").select("doc_id", chars.alias("cs"))
+    return rows.select("doc_id", P.spikes_of("cs", " ").alias("s"))
+
+
+@query(f"WITH {_CHARS} SELECT doc_id, count(*) AS n_frames, count(*) FILTER (WHERE p IS NULL OR p <> token) AS n_runs FROM prev GROUP BY doc_id")
+def ctc_collapse(t):
+    rows = t("documents").where("text <> ''").select("doc_id", F.split(F.lower("text"), "").alias("cs"))
+    runs = F.expr("size(filter(transform(cs, (x, i) -> NOT coalesce(get(cs, i - 1) = x, false)), b -> b))")
+    return rows.select("doc_id", F.size("cs").cast("long").alias("n_frames"), runs.cast("long").alias("n_runs"))
+
+
+@query(f"WITH {_CHARS} SELECT doc_id, md5(string_agg(token, '' ORDER BY t)) AS tokens_md5 FROM spikes GROUP BY doc_id")
+def ctc_decode(t):
+    text = F.array_join(F.transform("s", lambda x: x["token"]), "")
+    return _spiked(t).where(F.size("s") > 0).select("doc_id", F.md5(text.cast("binary")).alias("tokens_md5"))
+
+
+@query(f"WITH {_CHARS} SELECT doc_id, count(*) AS n, min(t)::INT AS first_t, max(t)::INT AS last_t, sum(t)::BIGINT AS sum_t FROM spikes GROUP BY doc_id")
+def spikes(t):
+    return _spiked(t).where(F.size("s") > 0).select(
+        "doc_id",
+        F.size("s").cast("long").alias("n"),
+        F.expr("s[0].t").alias("first_t"),
+        F.expr("s[size(s) - 1].t").alias("last_t"),
+        F.expr("aggregate(s, 0L, (a, x) -> a + x.t)").alias("sum_t"),
+    )
+
+
+@query(f"WITH {_CHARS} SELECT token, next_phone, count(*) AS n FROM ctx GROUP BY ALL")
+def spike_context(t):
+    pairs = F.expr("transform(s, (x, k) -> struct(x.token AS token, coalesce(get(s, k + 1).token, '') AS next_phone))")
+    return _spiked(t).select(F.explode(pairs).alias("p")).groupBy("p.token", "p.next_phone").agg(F.count("*").alias("n"))
+
+
+def _marked(t):
+    return _spiked(t).select("doc_id", F.explode(P.markers_of("s")).alias("m")).select("doc_id", "m.*")
+
+
+def _marker_sql(marker: str) -> str:
+    return (
+        f"WITH {_CHARS} SELECT doc_id, t::INT AS frame, t * 20 / 1000.0::DOUBLE AS time_s, token AS phone, next_phone"
+        f" FROM ctx WHERE {P.tests('token', 'next_phone')[marker]}"
+    )
+
+
+for _m in C.PHONE_GROUPS:
+
+    def _one(t, m=_m):
+        rows = _marked(t).where(F.col("marker") == m)
+        return rows.select("doc_id", "frame", (F.col("frame") * 20 / 1000.0).alias("time_s"), "phone", "next_phone")
+
+    _one.__name__ = f"markers_{_m}"
+    query(_marker_sql(_m))(_one)
+
+
+@query(f"WITH {_CHARS} SELECT doc_id, marker, count(*) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{m}' AS marker FROM ctx WHERE {c}" for m, c in P.tests("token", "next_phone").items()
+) + ") GROUP BY ALL")
+def marker_counts(t):
+    return _marked(t).groupBy("doc_id", "marker").agg(F.count("*").alias("n"))
+
+
+_VOWELS = {"a": "aáâãàä", "e": "eéêè", "i": "ií", "o": "oóôõö", "u": "uúü"}
+
+
+@query(f"WITH {_CHARS}, v(phone, vowel) AS (VALUES " + ", ".join(
+    f"('{p}', '{v}')" for v, ps in _VOWELS.items() for p in ps
+) + ") SELECT vowel, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM spikes JOIN v ON token = phone GROUP BY vowel")
+def vowel_map_join(t):
+    rows = _spiked(t).select("doc_id", F.explode(F.transform("s", lambda x: x["token"])).alias("phone"))
+    per_doc = rows.groupBy("doc_id", "phone").agg(F.count("*").alias("n"))
+    vowels = rows.sparkSession.createDataFrame([(p, v) for v, ps in _VOWELS.items() for p in ps], "phone string, vowel string")
+    # A fixed table of a few rows.
+    return per_doc.join(F.broadcast(vowels), "phone").groupBy("vowel").agg(
+        F.sum("n").alias("n"), F.count_distinct("doc_id").alias("n_docs")
+    )
+
+
+@query("""
+WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+e AS (SELECT vec_id, i, exp(v - max(v) OVER (PARTITION BY vec_id)) AS e FROM x)
+SELECT vec_id, i::INT AS i, round(e / sum(e) OVER (PARTITION BY vec_id), 6) AS p FROM e""")
+def softmax_probs(t):
+    return t("embeddings").select("vec_id", F.posexplode(P.softmax("embedding")).alias("i", "p")).withColumn("p", r6("p"))
+
+
+@query("""
+SELECT vec_id, label, round(avg(embedding[1]::DOUBLE) OVER w, 6) AS x0, round(avg(embedding[2]::DOUBLE) OVER w, 6) AS x1
+FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
+def window_pool(t):
+    rows = t("embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in (0, 1)])
+    return P.pool(rows, "label", "vec_id", ["x0", "x1"]).withColumns({c: r6(c) for c in ("x0", "x1")})
+
+
+@query("""
+WITH x AS (SELECT vec_id, label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+e AS (SELECT vec_id, label, i, exp(v - max(v) OVER (PARTITION BY vec_id)) AS e FROM x),
+p AS (SELECT vec_id, label, i, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM e)
+SELECT vec_id, label, round(avg(p) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS p3
+FROM p WHERE i = 3""")
+def window_probs(t):
+    rows = t("embeddings").select("vec_id", "label", P.softmax("embedding")[3].alias("p3"))
+    return P.pool(rows, "label", "vec_id", ["p3"]).withColumn("p3", r6("p3"))
+
+
+@query("""
+SELECT label, round(avg(embedding[6]::DOUBLE), 6) AS g5, round(avg(embedding[10]::DOUBLE), 6) AS g9, NULL::DOUBLE AS absent
+FROM embeddings GROUP BY label""")
+def group_logits(t):
+    ids = {"g5": 5, "g9": 9, "absent": 9999}
+    return t("embeddings").groupBy("label").agg(
+        *[r6(F.avg(F.get("embedding", F.lit(i)).cast("double"))).alias(n) for n, i in ids.items()]
+    )
+
+
+@query("SELECT event_id, round_even(value * 50, 0)::INT AS frame FROM events")
+def time_to_frame(t):
+    return t("events").select("event_id", P.frame_of("value", 50).alias("frame"))
+
+
+# ---- vectors ------------------------------------------------------------------------
+
+
+@query("""
+SELECT l_suppkey, """ + ", ".join(
+    f"round(avg({c}) FILTER (WHERE l_returnflag = '{v}'), 4) AS {v}_{c}" for v in "ANR" for c in ("l_quantity", "l_extendedprice")
+) + """, round(avg(l_quantity), 4) AS mean_q, round(stddev_pop(l_quantity), 4) AS sd_q, count(*) AS n_tokens
+FROM lineitem GROUP BY l_suppkey""")
+def formant_vector(t):
+    cells = [
+        F.round(F.avg(F.when(F.col("l_returnflag") == v, F.col(c))), 4).alias(f"{v}_{c}")
+        for v in "ANR"
+        for c in ("l_quantity", "l_extendedprice")
+    ]
+    return t("lineitem").groupBy("l_suppkey").agg(
+        *cells,
+        F.round(F.avg("l_quantity"), 4).alias("mean_q"),
+        F.round(F.stddev_pop("l_quantity"), 4).alias("sd_q"),
+        F.count("*").alias("n_tokens"),
+    )
+
+
+@query("""
+SELECT l_suppkey, round(avg(m), 4) AS mean, count(*) AS n_utterances
+FROM (SELECT l_suppkey, l_orderkey, avg(l_quantity) AS m FROM lineitem GROUP BY ALL) GROUP BY l_suppkey""")
+def mean_of_means(t):
+    return V.mean_of_means(t("lineitem"), "l_suppkey", "l_orderkey", "l_quantity").withColumn("mean", F.round("mean", 4))
+
+
+@query("""
+SELECT label, i::INT AS pos, round(avg(v), 6) AS value
+FROM (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) GROUP BY ALL""")
+def embedding_mean(t):
+    return V.element_means(t("embeddings"), "label", "embedding").withColumn("value", r6("value"))
+
+
+@query("""
+SELECT vec_id, unnest(range(80))::INT AS pos, unnest([coalesce(round(embedding[i + 1]::DOUBLE, 6), 0.0::DOUBLE) FOR i IN range(80)]) AS x
+FROM embeddings""")
+def pad_truncate(t):
+    return t("embeddings").select("vec_id", F.posexplode(V.pad_truncate(F.col("embedding"), 80)).alias("pos", "x")).withColumn(
+        "x", r6(F.col("x").cast("double"))
+    )
+
+
+@query("""
+WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+p AS (SELECT vec_id, i, v * v AS p FROM x),
+a AS (SELECT vec_id, sum(p) AS e, sum(p * i) / sum(p) AS m1, max(p) AS top,
+             sum(p) FILTER (WHERE i BETWEEN 8 AND 16) AS lo, sum(p) FILTER (WHERE i BETWEEN 20 AND 32) AS hi FROM p GROUP BY vec_id),
+b AS (SELECT p.vec_id, sum(p * (i - m1) ** 2) / any_value(e) AS m2, sum(p * (i - m1) ** 3) / any_value(e) AS m3,
+             sum(p * (i - m1) ** 4) / any_value(e) AS m4, min(i) FILTER (WHERE p = top) AS peak FROM p JOIN a USING (vec_id) GROUP BY p.vec_id)
+SELECT vec_id, round(m1, 4) AS m1, round(m2, 4) AS variance, round(m3 / greatest(m2, 1e-9) ** 1.5, 4) AS skew,
+       round(m4 / greatest(m2, 1e-9) ** 2 - 3, 4) AS kurtosis, peak::INT AS peak,
+       round(log10((hi + 1e-12) / (lo + 1e-12)), 4) AS ratio FROM a JOIN b USING (vec_id)""")
+def spectral_moments_sql(t):
+    p = t("embeddings").select("vec_id", F.expr("transform(embedding, x -> CAST(x AS DOUBLE) * CAST(x AS DOUBLE))").alias("p"))
+    total = lambda body: F.expr(f"aggregate(transform(p, (x, i) -> {body}), 0D, (a, b) -> a + b)")
+    p = p.withColumn("e", total("x")).withColumn("m1", total("x * i") / F.col("e"))
+    p = p.withColumns({f"m{k}": total(f"x * pow(i - m1, {k})") / F.col("e") for k in (2, 3, 4)})
+    safe = F.greatest("m2", F.lit(1e-9))
+    band = lambda a, b: total(f"IF(i BETWEEN {a} AND {b}, x, 0D)")
+    r4 = lambda c: F.round(c, 4)
+    return p.select(
+        "vec_id",
+        r4(F.col("m1")).alias("m1"),
+        r4(F.col("m2")).alias("variance"),
+        r4(F.col("m3") / F.pow(safe, 1.5)).alias("skew"),
+        r4(F.col("m4") / F.pow(safe, 2) - 3).alias("kurtosis"),
+        P.argmax("p").alias("peak"),
+        r4(V.log_ratio(band(20, 32), band(8, 16))).alias("ratio"),
+    )
+
+
+@query("""
+WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS n, unnest(embedding)::DOUBLE AS v FROM embeddings),
+k AS (SELECT unnest(range(5)) AS k)
+SELECT vec_id, k::INT AS k, round(sum(v * cos(2 * pi() * k * n / 64)) ** 2 + sum(v * sin(2 * pi() * k * n / 64)) ** 2, 5) AS power
+FROM x, k GROUP BY ALL""")
+def dft_power(t):
+    wave = lambda f: (
+        f"pow(aggregate(transform(embedding, (x, n) -> CAST(x AS DOUBLE) * {f}(2 * pi() * k * n / 64)), 0D, (a, b) -> a + b), 2)"
+    )
+    power = F.expr(f"transform(sequence(0, 4), k -> struct(k, {wave('cos')} + {wave('sin')} AS power))")
+    return t("embeddings").select("vec_id", F.explode(power).alias("s")).select("vec_id", "s.k", F.round("s.power", 5).alias("power"))
+
+
+# ---- segments -----------------------------------------------------------------------
+
+_GAP = 3600
+_TURNS = f"""turns AS (SELECT user_id, event_type AS spk, epoch(ts) AS s, epoch(ts) + value AS e FROM events),
+flags AS (SELECT *, CASE WHEN lag(spk) OVER w = spk AND s - lag(e) OVER w <= {_GAP} THEN 0 ELSE 1 END AS new
+          FROM turns WINDOW w AS (PARTITION BY user_id ORDER BY s, e)),
+isl AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY s, e) AS island FROM flags),
+merged AS (SELECT user_id, island::BIGINT AS island, spk, min(s) AS start_s, max_by(e, (s, e)) AS end_s FROM isl GROUP BY ALL)"""
+
+
+def _turns(t):
+    start = F.unix_micros("ts") / 1e6
+    rows = t("events").select("user_id", "event_type", start.alias("s"), (start + F.col("value")).alias("e"))
+    return S.merge_segments(rows, "user_id", F.col("s"), F.col("e"), "event_type", _GAP)
+
+
+@query(f"WITH {_TURNS} SELECT user_id, island, spk, round(start_s, 3) AS start_s, round(end_s, 3) AS end_s FROM merged")
+def merge_segments(t):
+    return _turns(t).select("user_id", "island", "spk", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"))
+
+
+@query("""
+SELECT user_id, event_type, (rank() OVER (PARTITION BY user_id ORDER BY f) - 1)::INT AS idx
+FROM (SELECT user_id, event_type, min((ts, event_id)) AS f FROM events GROUP BY ALL)""")
+def turn_order(t):
+    firsts = t("events").groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("f"))
+    w = Window.partitionBy("user_id").orderBy("f")
+    return firsts.select("user_id", "event_type", (F.dense_rank().over(w) - 1).alias("idx"))
+
+
+@query(f"""WITH {_TURNS} SELECT user_id, island, spk, row_number() OVER (PARTITION BY user_id, spk ORDER BY island)::INT AS number
+FROM merged WHERE end_s - start_s >= 20""")
+def segment_numbers(t):
+    w = Window.partitionBy("user_id", "spk").orderBy("island")
+    return _turns(t).where("end_s - start_s >= 20").select("user_id", "island", "spk", F.row_number().over(w).alias("number"))
+
+
+@query("""
+SELECT user_id, event_type, round(d, 4) AS duration FROM (SELECT user_id, event_type, sum(value) AS d, min(event_id) AS f FROM events GROUP BY ALL)
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(d, 4) DESC, f) <= 2""")
+def top2_by_duration(t):
+    sums = t("events").groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 4).alias("duration"), F.min("event_id").alias("f"))
+    return S.cap_per_key(sums, "user_id", [F.desc("duration"), "f"], 2).drop("f")
+
+
+# ---- sentences ----------------------------------------------------------------------
+
+_UNIT = f"{'|'.join(X.DIGRAPHS)}|[{X.LETTERS}]"
+_UNITS = f"u AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{_UNIT}')) AS unit FROM documents)"
+
+
+@query(f"WITH {_UNITS} SELECT doc_id, count(*) AS n_units, count(DISTINCT unit) AS n_kinds FROM u GROUP BY doc_id")
+def text_units(t):
+    found = t("documents").select("doc_id", X.units(F.col("text")).alias("u")).where(F.size("u") > 0)
+    return found.select("doc_id", F.size("u").cast("long").alias("n_units"), F.size(F.array_distinct("u")).cast("long").alias("n_kinds"))
+
+
+@query(f"WITH {_UNITS} SELECT unit, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 8) AS share FROM u GROUP BY unit")
+def unit_distribution(t):
+    return X.unit_shares(t("documents"), "text").withColumn("share", F.round("share", 8))
+
+
+@query(f"""
+WITH {_UNITS}, c AS (SELECT doc_id, unit, count(*) AS n FROM u GROUP BY ALL),
+g AS (SELECT unit, sum(n) / sum(sum(n)) OVER () AS q FROM c GROUP BY unit),
+s AS (SELECT doc_id, sum(n) AS t FROM c GROUP BY doc_id)
+SELECT s.doc_id, round(sum(abs(coalesce(n, 0) / t - q)), 6) AS distance
+FROM s CROSS JOIN g LEFT JOIN c ON c.doc_id = s.doc_id AND c.unit = g.unit
+GROUP BY s.doc_id ORDER BY 2, 1 LIMIT 1""")
+def greedy_round(t):
+    return _nearest(t).orderBy("distance", "doc_id").limit(1)
+
+
+def _nearest(t):
+    """L1 distance of each text's unit shares from all texts': units a text lacks add their share."""
+    docs = t("documents").select("doc_id", X.units(F.col("text")).alias("u")).where(F.size("u") > 0)
+    own = docs.select("doc_id", F.size("u").alias("t"), F.explode("u").alias("unit")).groupBy("doc_id", "t", "unit").agg(F.count("*").alias("n"))
+    shares = own.groupBy("unit").agg(F.sum("n").alias("c"))
+    total = shares.agg(F.sum("c").alias("all"))
+    # At most one row a unit, of which the alphabet has a few dozen.
+    shares = F.broadcast(shares.join(F.broadcast(total)).select("unit", (F.col("c") / F.col("all")).alias("q")))
+    gap = F.sum(F.abs(F.col("n") / F.col("t") - F.col("q")) - F.col("q"))
+    return own.join(shares, "unit").groupBy("doc_id").agg(F.round(gap + 1.0, 6).alias("distance"))
+
+
+@query()
+def balanced_subset(t):
+    from ..operators.sentences import balanced_subset as pick
+
+    return pick(t("documents").select("doc_id", "text"), "doc_id", "text", 5)
+
+
+# ---- evaluation ---------------------------------------------------------------------
+
+_BAD = "CASE WHEN vec_id % 17 = 0 AND i = 3 THEN NULL ELSE v END"
+
+
+def _holed(t):
+    hole = F.expr("transform(embedding, (x, i) -> IF(vec_id % 17 = 0 AND i = 3, CAST('NaN' AS DOUBLE), CAST(x AS DOUBLE)))")
+    return t("embeddings").select("vec_id", "label", hole.alias("embedding"))
+
+
+@query(f"""
+WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+h AS (SELECT vec_id, i, {_BAD} AS v FROM x),
+m AS (SELECT i, avg(v) AS m FROM h WHERE vec_id % 17 <> 0 GROUP BY i)
+SELECT vec_id, round(coalesce(v, m), 6) AS x3 FROM h JOIN m USING (i) WHERE i = 3""")
+def nan_impute(t):
+    return E.impute_mean(_holed(t), "embedding", 64).select("vec_id", r6(F.col("embedding")[3]).alias("x3"))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id % 17 <> 0")
+def drop_nonfinite(t):
+    return _holed(t).where(E.all_finite("embedding")).select("vec_id", "label")
+
+
+@query("""
+WITH f AS (SELECT DISTINCT vec_id % 5 AS fold FROM embeddings)
+SELECT fold, CASE WHEN vec_id % 5 = fold THEN 'test' ELSE 'train' END AS role, count(*) AS n FROM embeddings, f GROUP BY ALL""")
+def loso_folds(t):
+    sizes = t("embeddings").groupBy((F.col("vec_id") % 5).alias("fold")).agg(F.count("*").alias("test"))
+    total = sizes.agg(F.sum("test").alias("all"))
+    rows = sizes.join(F.broadcast(total)).select("fold", "test", (F.col("all") - F.col("test")).alias("train"))
+    return rows.unpivot("fold", ["test", "train"], "role", "n").where("n > 0")
+
+
+_CENTROID = """
+WITH x AS (SELECT vec_id, vec_id % 5 AS g, (label >= 5)::INT AS y, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+m AS (SELECT f.g, y, i, avg(v) AS m FROM x, (SELECT DISTINCT g FROM x) f WHERE x.g <> f.g GROUP BY ALL),
+d AS (SELECT vec_id, x.g, x.y, m.y AS cls, round(sum((v - m) ** 2), 6) AS d FROM x JOIN m ON x.g = m.g AND x.i = m.i GROUP BY ALL),
+p AS (SELECT vec_id, g AS grp, y, arg_min(cls, (d, cls)) AS pred FROM d GROUP BY ALL)"""
+
+
+def _centroids(t):
+    rows = t("embeddings").select("vec_id", (F.col("vec_id") % 5).alias("grp"), (F.col("label") >= 5).cast("int").alias("y"), "embedding")
+    return E.centroid_predictions(rows, "vec_id", "grp", "y", "embedding")
+
+
+@query(_CENTROID + " SELECT vec_id, grp, y, pred FROM p")
+def loso_centroid(t):
+    return _centroids(t)
+
+
+@query(_CENTROID + " SELECT grp, round(avg((y = pred)::INT), 6) AS acc, count(*) AS n FROM p GROUP BY grp")
+def per_speaker_accuracy(t):
+    hit = (F.col("y") == F.col("pred")).cast("double")
+    return _centroids(t).groupBy("grp").agg(r6(F.avg(hit)).alias("acc"), F.count("*").alias("n"))
+
+
+@query("""
+WITH r AS (SELECT n_chars AS s, quality AS y FROM documents JOIN labels USING (doc_id)),
+b AS (SELECT s, sum((y = 1)::INT) AS p, sum((y <> 1)::INT) AS n FROM r GROUP BY s),
+c AS (SELECT sum(p) OVER w AS cp, sum(n) OVER w AS cn, (SELECT sum(p) FROM b) AS tp, (SELECT sum(n) FROM b) AS tn
+      FROM b WINDOW w AS (ORDER BY s DESC))
+SELECT round(coalesce(min((cn / tn + 1 - cp / tp) / 2) FILTER (WHERE abs(cn / tn - (1 - cp / tp)) < 0.01), 1.0) * 100, 6) AS eer FROM c""")
+def eer(t):
+    rows = t("documents").select("doc_id", "n_chars").join(t("labels").select("doc_id", "quality"), "doc_id")
+    return E.equal_error_rate(rows, "quality", "n_chars").withColumn("eer", r6("eer"))
+
+
+def _fits(name):
+    def run(t):
+        rows = t("embeddings").select((F.col("vec_id") % 3).alias("grp"), (F.col("label") >= 5).cast("int").alias("y"), "embedding")
+        out = E.loso(rows, "grp", "y", "embedding", E.classifiers(trees=10, rounds=5)[name])
+        return out.groupBy("grp").agg(F.count("*").alias("n"), F.avg((F.col("y") == F.col("pred")).cast("double")).alias("acc"))
+
+    run.__name__ = f"loso_{name}"
+    return run
+
+
+for _name in ("rf", "gb", "lr", "svm", "xgb"):
+    query()(_fits(_name))
 
-def _fold(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.groupBy("user_id").agg(F.max_by("event_type", "ts").alias("event_type"))
 
+@query()
+def ablation_grid(t):
+    rows = t("embeddings").select((F.col("vec_id") % 2).alias("grp"), (F.col("label") >= 5).cast("int").alias("y"), "embedding")
+    sets = {"low": F.slice("embedding", 1, 8), "high": F.slice("embedding", 33, 8)}
+    return E.ablation_grid(rows, "grp", "y", sets, ["lr", "rf"], trees=5, rounds=3)
 
-def queries():
-    return {"latest_wins_fold": _fold}
 
+@query("""SELECT name, large FROM (VALUES ('alcaim', TRUE), ('cml_tts', TRUE), ('certas_palavras', FALSE), ('yodas', FALSE)) AS c(name, large) WHERE NOT large""")
+def catalog_filter(t):
+    from ..sources.corpora import registry
 
-def oracle_sql():
-    return {}
+    names = ["alcaim", "cml_tts", "certas_palavras", "yodas"]
+    return registry(t("region").sparkSession).where(F.col("name").isin(names) & ~F.col("large")).select("name", "large")
