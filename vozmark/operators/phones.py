@@ -44,21 +44,23 @@ def argmax(values: str) -> Column:
 
 def spikes_of(tokens: str, blank: str) -> Column:
     """array<struct<t, token>> of collapsed tokens: no blanks, no repeats of the one before."""
-    return F.expr(
-        f"filter(transform({tokens}, (x, i) -> IF(x <> '{blank}' AND NOT coalesce(get({tokens}, i - 1) = x, false),"
+    # The array is bound once: a filter pushed below would else work it out for each item.
+    one = (
+        f"filter(transform(c, (x, i) -> IF(x <> '{blank}' AND NOT coalesce(get(c, i - 1) = x, false),"
         " struct(i AS t, x AS token), NULL)), s -> s IS NOT NULL)"
     )
+    return F.expr(f"element_at(transform(array({tokens}), c -> {one}), 1)")
 
 
 def markers_of(spikes: str) -> Column:
     """array<struct<marker, frame, phone, next_phone>> of spikes; the next of the last is ''."""
-    near = f"coalesce(get({spikes}, k + 1).token, '')"
-    pairs = f"transform({spikes}, (s, k) -> struct(s.t AS frame, s.token AS phone, {near} AS next_phone))"
+    near = "coalesce(get(c, k + 1).token, '')"
+    pairs = f"transform(c, (s, k) -> struct(s.t AS frame, s.token AS phone, {near} AS next_phone))"
     each = ", ".join(
         f"IF({cond}, struct('{m}' AS marker, p.frame AS frame, p.phone AS phone, p.next_phone AS next_phone), NULL)"
         for m, cond in tests("p.phone", "p.next_phone").items()
     )
-    return F.expr(f"flatten(transform({pairs}, p -> array_compact(array({each}))))")
+    return F.expr(f"flatten(element_at(transform(array({spikes}), c -> transform({pairs}, p -> array_compact(array({each})))), 1))")
 
 
 def collapse(frames: DataFrame, utt: str = "utt_id", t: str = "t", token: str = "id", blank=0) -> DataFrame:

@@ -330,15 +330,18 @@ def spikes(t):
     return _spiked(t).where(F.size("s") > 0).select(
         "doc_id",
         F.size("s").cast("long").alias("n"),
-        F.expr("s[0].t").alias("first_t"),
-        F.expr("s[size(s) - 1].t").alias("last_t"),
+        F.expr("element_at(s, 1).t").alias("first_t"),
+        F.expr("element_at(s, -1).t").alias("last_t"),
         F.expr("aggregate(s, 0L, (a, x) -> a + x.t)").alias("sum_t"),
     )
 
 
 @query(f"WITH {_CHARS} SELECT token, next_phone, count(*) AS n FROM ctx GROUP BY ALL")
 def spike_context(t):
-    pairs = F.expr("transform(s, (x, k) -> struct(x.token AS token, coalesce(get(s, k + 1).token, '') AS next_phone))")
+    pairs = F.expr(
+        "element_at(transform(array(s), c -> transform(c, (x, k) ->"
+        " struct(x.token AS token, coalesce(get(c, k + 1).token, '') AS next_phone))), 1)"
+    )
     return _spiked(t).select(F.explode(pairs).alias("p")).groupBy("p.token", "p.next_phone").agg(F.count("*").alias("n"))
 
 
@@ -526,7 +529,7 @@ merged AS (SELECT user_id, island::BIGINT AS island, spk, min(s) AS start_s, max
 
 
 def _turns(t):
-    start = F.unix_micros("ts") / 1e6
+    start = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") / 1e6
     rows = t("events").select("user_id", "event_type", start.alias("s"), (start + F.col("value")).alias("e"))
     return S.merge_segments(rows, "user_id", F.col("s"), F.col("e"), "event_type", _GAP)
 
