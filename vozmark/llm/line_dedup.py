@@ -94,11 +94,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     )
     spans = repeats(docs.select("doc_id", F.col("text").cast("string").alias("text")))
     joined = rows.join(
-        spans.withColumnsRenamed({"__id": "__id2", "__th": "__th2"}),
+        spans.withColumnsRenamed({"__id": "__id2", "__th": "__th2", "spans": "__spans"}),
         F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__th") == F.col("__th2")),
         "left",
     )
-    gone = F.expr("flatten(transform(spans, s -> sequence(s.first, s.last)))")
+    gone = F.expr("flatten(transform(__spans, s -> sequence(s.first, s.last)))")
     split = joined.withColumn("__lines", F.expr("split(text, '\\n', -1)"))
     placed = split.withColumns(
         {"__at": F.coalesce(_places("__lines"), F.array()), "__gone": F.coalesce(gone, F.array())}
@@ -116,7 +116,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         *[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in own],
         F.size("__at").alias("n_lines"),
         F.size("__gone").alias("n_removed"),
-        F.coalesce("spans", F.array()).alias("removed_spans"),
+        F.coalesce("__spans", F.array()).alias("removed_spans"),
     )
 
 
