@@ -62,6 +62,7 @@ def oracle_sql() -> dict[str, str]:
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
         ),
         "op6_near_dedup": _over("documents", near_dedup.near_duplicates),
+        "op6_near_dedup": near_dedup.ORACLE,
         "op7_line_dedup": line_dedup.ORACLE,
         "op8_quality_rules": quality_rules.oracle(),
     }
