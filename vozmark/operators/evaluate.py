@@ -82,7 +82,7 @@ def classifiers(trees: int = 300, rounds: int = 300) -> dict:
         "rf": lambda: RandomForestClassifier(numTrees=trees, seed=42, maxDepth=10),
         "gb": lambda: GBTClassifier(maxIter=rounds, seed=42, maxDepth=3, stepSize=0.1),
         "lr": lambda: LogisticRegression(maxIter=5000, regParam=1e-3),
-        "svm": lambda: LinearSVC(maxIter=200),
+        "svm": lambda: LinearSVC(maxIter=rounds),
         "xgb": lambda: GBTClassifier(
             maxIter=rounds, seed=0, maxDepth=4, stepSize=0.05, subsamplingRate=0.9, featureSubsetStrategy="0.9"
         ),
