@@ -34,7 +34,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates.
+
+    Rows that share a doc_id go together if one of them goes.
+    """
     gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
@@ -45,7 +48,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds each document's rate and number of copies for the target weights."""
+    """Adds each document's rate and number of copies for the target weights.
+
+    Columns rate and n_copies that are there already are replaced.
+    """
+    docs = docs.drop("rate", "n_copies")
     rates = mixing.mix(docs, table(spark, sf_dir, "labels")).select(
         F.col("doc_id").alias("__id"), "rate", "n_copies"
     )

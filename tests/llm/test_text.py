@@ -106,3 +106,15 @@ def test_rates_meet_targets_and_stay_nonnegative(spark, data, documents):
     none = mixing.mix(documents, labels.limit(0)).collect()
     assert all(r["rate"] == 1.0 and r["p_all"] == 1.0 for r in none)
     assert mixing.mix(documents.limit(0), labels).count() == 0
+
+
+def test_clashing_columns_are_replaced(spark, documents):
+    names = ["n_words", "kept", "lang_pred", "lang_rejected", "n_tokens", "tox_score", "rate", "p_all", "h", "d"]
+    rows = documents
+    for n in names:
+        rows = rows.withColumn(n, F.lit("clash"))
+    assert quality_rules.apply_rules(rows).where("kept").count() == 0
+    assert language_id.detect(rows, {"en": b"the cat"}).where("lang_pred = 'en'").count() == 4
+    assert token_count.count_tokens(rows).where("n_tokens > 1").count() == 6
+    assert toxicity.score(rows, toxicity.Model(vote_weights=[0.0] * len(toxicity.voter_names()))).count() == 8
+    assert mixing.mix(rows, rows.select("doc_id").limit(0)).count() == 8

@@ -106,7 +106,10 @@ def _judge(texts: pd.Series, coders: list, langs: list[str], min_margin: float):
 def detect(
     docs: DataFrame, model: dict[str, bytes], level: int = LEVEL, min_margin: float = MIN_MARGIN
 ) -> DataFrame:
-    """``docs`` with lang_pred, lang_score, lang_margin and lang_rejected for the whole text."""
+    """``docs`` with lang_pred, lang_score, lang_margin and lang_rejected for the whole text.
+
+    Columns of these names that are there already are replaced.
+    """
     langs = list(model)
     schema = "lang_pred string, lang_score double, lang_margin double, lang_rejected boolean"
 
@@ -129,8 +132,10 @@ def detect(
                 columns=["lang_pred", "lang_score", "lang_margin", "lang_rejected"],
             )
 
-    judged = docs.withColumn("__lang", judge(F.col("text").cast("string")))
-    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], "__lang.*")
+    names = ("lang_pred", "lang_score", "lang_margin", "lang_rejected")
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]
+    judged = docs.select(*own, judge(F.col("text").cast("string")).alias("__lang"))
+    return judged.select(*own, "__lang.*")
 
 
 def op10_language_id(docs: DataFrame) -> DataFrame:

@@ -37,6 +37,12 @@ RULES: list[tuple[str, str, str, float | None, float | None]] = [
 ]
 
 
+MEASURES = [
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines",
+    "n_bullet_lines", "n_ellipsis_lines",
+]
+
+
 def _let(value: str, name: str, body: str) -> str:
     """``body`` with ``name`` bound to a value that is worked out once."""
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
@@ -118,8 +124,12 @@ def verdict(rules=None) -> Column:
 
 
 def apply_rules(docs: DataFrame, text: str = "text", rules=None) -> DataFrame:
-    """``docs`` with measures, base_failed, failed_rules and kept."""
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    """``docs`` with measures, base_failed, failed_rules and kept.
+
+    Columns of these names that are there already are replaced.
+    """
+    new = {"base_failed", "failed_rules", "kept", *MEASURES}
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
     split = docs.select(
         *own,
         F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SPACE_RE, -1), "").alias(
