@@ -33,6 +33,31 @@ def test_leaks_copies_rewordings_and_clean_texts(spark):
     assert (7, 2) in got and set(got) == {(1, 1), (2, 1), (7, 2)}
 
 
+def test_leaks_in_other_case(spark):
+    bench = [(1, ITEM), (2, "Der Fuß ist groß"), (3, "Paul mixed 5 ml of it")]
+    other = ITEM.replace("12", "30").replace("45", "20").replace("3 hours", "7 hours")
+    texts = {
+        1: f"Before it. {ITEM.upper()} AND MORE",
+        2: f"x {ITEM.lower()} y",
+        3: ITEM.title(),
+        4: other.upper(),
+        5: "so: DER FUSS IST GROSS.",
+        6: "paul mixed 5 mL of it",
+        7: "EVERY WORD OF THIS TEXT STANDS IN CAPITALS BUT IT IS NO COPY OF ANY ITEM AT ALL",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = decontamination.find_leaks(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): (r["doc_start"], r["n_words"], r["reworded"]) for r in got}
+    assert got == {
+        (1, 1): (2, 21, False),
+        (2, 1): (1, 21, False),
+        (3, 1): (0, 21, False),
+        (4, 1): (0, 21, True),
+        (5, 2): (1, 4, False),
+        (6, 3): (0, 6, False),
+    }
+
+
 def test_leaks_edge_cases(spark, documents):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     assert decontamination.find_leaks(documents, bench).count() == 0

@@ -1,12 +1,14 @@
 """Benchmark decontamination over templates.
 
 Words become template words: numbers, names and units turn into typed placeholders, so
-that a question with other numbers, names or units has the same template. Windows of
-eight template words of a benchmark item, one every few words, are hash-joined with all
-windows of all texts. For each match the longest common run of template words around it
-is worked out; it counts if it has MIN_WORDS words, or the whole of a shorter item, and if
-its slots are consistent: on each side, equal values stand where the other side has equal
-values. Equal texts are consistent with themselves.
+that a question with other numbers, names or units has the same template. They also
+become caseless words, the same but for names, which are lower-cased instead, so that a
+copy in other case has the same caseless words. Windows of eight words in either form of
+a benchmark item, one every few words, are hash-joined with all windows of all texts. For
+each match the longest common run around it, of words equal in either form, is worked
+out; it counts if it has MIN_WORDS words, or the whole of a shorter item, and if its slots
+are consistent: on each side, equal values stand where the other side has equal values.
+Equal texts are consistent with themselves.
 
 Template words: a word without punctuation at its ends, lower-cased. It is a number if
 it has a digit and otherwise only digits and number marks, a quantity if letters follow
@@ -69,6 +71,23 @@ def template_words(words: str) -> Column:
     return F.expr(f"transform({words}, w -> {_template('w')})")
 
 
+def _bare(word: str) -> str:
+    """The word as slots compare it: without punctuation at its ends, in one case."""
+    return (
+        rf"replace(lower(regexp_replace({word}, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}%]+$', '')), 'ß', 'ss')"
+    )
+
+
+def caseless_words(words: str, tpl: str) -> Column:
+    """Template words of any case: names are words, and units are units, in capitals too."""
+    units = ", ".join(f"'{u}'" for u in UNITS.split())
+    return F.expr(
+        f"zip_with({tpl}, {words}, (t, w) -> CASE WHEN t = '<name>' THEN"
+        f" element_at(transform(array({_bare('w')}), b -> IF(b IN ({units}), '<unit>', b)), 1)"
+        f" WHEN t IN ({units}) THEN '<unit>' ELSE replace(t, 'ß', 'ss') END)"
+    )
+
+
 def _window_hashes(words: str) -> str:
     """Hashes of all windows of WINDOW words, doubled from one word."""
     hashes = f"transform({words}, w -> xxhash64(w))"
@@ -81,7 +100,7 @@ def _window_hashes(words: str) -> str:
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
-    """Items with words: (item, item_id, b_words, b_tpl)."""
+    """Items with words: (item, item_id, b_words, b_tpl, b_cl)."""
     return (
         pick(benchmark, item_id="long", text="string")
         .distinct()
@@ -92,14 +111,16 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
         )
         .where(F.size("b_words") > 0)
         .withColumn("b_tpl", template_words("b_words"))
+        .withColumn("b_cl", caseless_words("b_words", "b_tpl"))
     )
 
 
 def _short_windows(items: DataFrame) -> tuple[list[int], DataFrame]:
     """Lengths and (hash, item, at) of items shorter than a window."""
     short = items.where(F.size("b_tpl") < WINDOW).select(
-        F.size("b_tpl").alias("n"), F.expr("xxhash64('short', array_join(b_tpl, ' '))").alias("hash"), "item"
+        F.size("b_tpl").alias("n"), F.explode(F.array("b_tpl", "b_cl")).alias("form"), "item"
     )
+    short = short.select("n", F.expr("xxhash64('short', array_join(form, ' '))").alias("hash"), "item").distinct()
     sizes = sorted(r["n"] for r in short.select("n").distinct().collect())  # below WINDOW
     return sizes, short.select("hash", "item", F.lit(0).alias("at"))
 
@@ -112,11 +133,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     items = scratch.keep(benchmark_items(benchmark))
-    windows = items.where(F.size("b_tpl") >= WINDOW).select(
-        "item", F.size("b_tpl").alias("n"), F.posexplode(F.expr(_window_hashes("b_tpl"))).alias("at", "hash")
+    forms = items.where(F.size("b_tpl") >= WINDOW).select("item", F.explode(F.array("b_tpl", "b_cl")).alias("form"))
+    windows = forms.select(
+        "item", F.size("form").alias("n"), F.posexplode(F.expr(_window_hashes("form"))).alias("at", "hash")
     )
     windows = windows.where((F.col("at") % STRIDE == 0) | (F.col("at") == F.col("n") - WINDOW))
-    windows = windows.select("hash", "item", "at")
+    windows = windows.select("hash", "item", "at").distinct()
     sizes, short = _short_windows(items)
     windows = scratch.keep(windows.unionByName(short))
     few = windows.count() <= MAX_BROADCAST
@@ -124,15 +146,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     rows = pick(docs, doc_id="long", text="string").where(F.col("text").isNotNull())
     worded = rows.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("words"))
-    tpl = worded.select("doc_id", "th", template_words("words").alias("t"))
-    hashes = F.expr(f"CASE WHEN size(t) >= {WINDOW} THEN {_window_hashes('t')} END")
-    found = tpl.select("doc_id", "th", F.posexplode(hashes).alias("pos", "hash"))
+    tpl = worded.withColumn("t", template_words("words")).withColumn("c", caseless_words("words", "t"))
+    tpl = tpl.drop("words")
+    # Both forms' windows stand in one array, one form after the other.
+    both = f"concat({_window_hashes('t')}, {_window_hashes('c')})"
+    hashes = F.expr(f"CASE WHEN size(t) >= {WINDOW} THEN {both} END")
+    place = lambda n: (F.col("pos") % (F.col("n") - (n - 1))).alias("pos")
+    found = tpl.select("doc_id", "th", F.size("t").alias("n"), F.posexplode(hashes).alias("pos", "hash"))
+    found = found.select("doc_id", "th", place(WINDOW), "hash")
     for n in sizes:
-        own = F.expr(
-            f"CASE WHEN size(t) >= {n} THEN transform(sequence(1, size(t) - {n - 1}), i ->"
-            f" xxhash64('short', array_join(slice(t, i, {n}), ' '))) END"
+        own = ", ".join(
+            f"transform(sequence(1, size(t) - {n - 1}), i -> xxhash64('short', array_join(slice({f}, i, {n}), ' ')))"
+            for f in ("t", "c")
         )
-        found = found.unionByName(tpl.select("doc_id", "th", F.posexplode(own).alias("pos", "hash")))
+        own = F.expr(f"CASE WHEN size(t) >= {n} THEN concat({own}) END")
+        short = tpl.select("doc_id", "th", F.size("t").alias("n"), F.posexplode(own).alias("pos", "hash"))
+        found = found.unionByName(short.select("doc_id", "th", place(n), "hash"))
     # One row for each document, item and shift, however many windows met.
     met = (
         found.join(hint(windows), "hash")
@@ -148,14 +177,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = worded.withColumnRenamed("doc_id", "id").withColumnRenamed("th", "h")
     there = texts.join(
         wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))
-    ).select("doc_id", "th", "words", template_words("words").alias("t"), F.explode("met").alias("m"))
+    ).withColumn("t", template_words("words")).withColumn("c", caseless_words("words", "t"))
+    there = there.select("doc_id", "th", "words", "t", "c", F.explode("met").alias("m"))
     pairs = there.select(
-        "doc_id", "th", "words", "t", F.col("m.item").alias("item"), F.col("m.shift").alias("shift"),
+        "doc_id", "th", "words", "t", "c", F.col("m.item").alias("item"), F.col("m.shift").alias("shift"),
         F.explode("m.ats").alias("at"),
     ).join(hint(items), "item")
-    # Places of the item at which the template words are equal, shift applied.
+    # Places of the item at which the words are equal in either form, shift applied.
     equal = F.expr(
-        "transform(sequence(0, size(b_tpl) - 1), j -> coalesce(get(t, j + shift) = b_tpl[j], false))"
+        "transform(sequence(0, size(b_tpl) - 1), j -> coalesce(get(t, j + shift) = b_tpl[j]"
+        " OR get(c, j + shift) = b_cl[j], false))"
     )
     stop = F.expr(
         "coalesce(get(filter(transform(eq, (e, j) -> IF(e, NULL, j)), j -> j > at), 0), size(eq))"
@@ -166,9 +197,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     runs = pairs.withColumn("eq", equal).withColumns({"a": start, "z": stop})
     # The first word of a sentence is no name where both sides have the same word.
     slots = F.expr(
-        "transform(sequence(a, z - 1), j -> struct(b_tpl[j] AS kind,"
-        r" lower(regexp_replace(b_words[j], '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}%]+$', '')) AS b,"
-        r" lower(regexp_replace(words[j + shift], '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}%]+$', '')) AS d))"
+        "transform(sequence(a, z - 1), j -> struct(IF(t[j + shift] = b_tpl[j], b_tpl[j], b_cl[j]) AS kind,"
+        f" {_bare('b_words[j]')} AS b, {_bare('words[j + shift]')} AS d))"
     )
     runs = runs.where(
         F.col("z") - F.col("a") >= F.least(F.lit(MIN_WORDS), F.size("b_tpl"))
