@@ -58,6 +58,33 @@ def test_leaks_in_other_case(spark):
     }
 
 
+def test_leaks_next_to_words_of_the_text(spark):
+    item = (
+        "The river that runs by 12 mills turns north. De Vries saw it rise over the old wall. "
+        "The town then built 30 new boats and sold them all to De Jong before winter came."
+    )
+    words = item.split()
+    texts = {
+        # The copy goes on with a capital word, or a number, for which the item has another.
+        1: " ".join(words[:17]) + " To others it was nothing",
+        2: " ".join(words[:20]) + " 12 boats of them",
+        # So it does before its start: the item has The for De, and 12 for 30.
+        3: "nobody knew. De " + " ".join(words[18:]),
+        4: "it took 30 " + " ".join(words[6:]),
+        # A run of fewer words stays too short when shrunk.
+        5: " ".join(words[5:17]) + " North others",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = decontamination.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    got = {r["doc_id"]: (r["doc_start"], r["item_start"], r["n_words"], r["reworded"]) for r in got}
+    assert got == {
+        1: (0, 0, 17, False),
+        2: (0, 0, 20, False),
+        3: (3, 18, 17, False),
+        4: (3, 6, 29, False),
+    }
+
+
 def test_leaks_edge_cases(spark, documents):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     assert decontamination.find_leaks(documents, bench).count() == 0

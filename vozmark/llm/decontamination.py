@@ -8,7 +8,10 @@ a benchmark item, one every few words, are hash-joined with all windows of all t
 each match the longest common run around it, of words equal in either form, is worked
 out; it counts if it has MIN_WORDS words, or the whole of a shorter item, and if its slots
 are consistent: on each side, equal values stand where the other side has equal values.
-Equal texts are consistent with themselves.
+Equal texts are consistent with themselves. Of an inconsistent run the longest consistent
+part counts, as a copy may go on with words of the text's own. No part counts that has a
+changed number, quantity or unit whose clash is with a slot outside the part: there the
+item goes on, but as another question.
 
 Template words: a word without punctuation at its ends, lower-cased. It is a number if
 it has a digit and otherwise only digits and number marks, a quantity if letters follow
@@ -125,6 +128,33 @@ def _short_windows(items: DataFrame) -> tuple[list[int], DataFrame]:
     return sizes, short.select("hash", "item", F.lit(0).alias("at"))
 
 
+def _consistent_parts(sl: str, n: str) -> str:
+    """Longest parts [p, q) of a run of n words whose slots (i, kind, b, d) are consistent.
+
+    A consistent run is one part. Otherwise a part starts behind the last slot that
+    clashes with one in it, and ends before the first that does.
+    """
+    clash = "x.kind = y.kind AND (x.b = y.b) <> (x.d = y.d)"
+    whole = f"array(struct(0 AS p, {n} AS q))"
+    pairs = f"array_distinct(transform({sl}, s -> struct(s.kind, s.b, s.d)))"
+    one = lambda side: f"size({pairs}) = size(array_distinct(transform({sl}, s -> struct(s.kind, s.{side}))))"
+    lows = (
+        f"filter(transform({sl}, y -> struct(y.i AS j, coalesce(array_max(transform("
+        f"filter({sl}, x -> x.i < y.i AND {clash}), x -> x.i)), -1) + 1 AS low)), c -> c.low > 0)"
+    )
+    state = "struct(acc.parts AS parts, acc.p AS p)"
+    parts = (
+        f"aggregate({lows}, struct(CAST(array() AS array<struct<p:int,q:int>>) AS parts, 0 AS p), (acc, c) ->"
+        f" IF(c.low > acc.p, struct(concat(acc.parts, array(struct(acc.p AS p, c.j AS q))) AS parts, c.low AS p), {state}),"
+        f" acc -> concat(acc.parts, array(struct(acc.p AS p, {n} AS q))))"
+    )
+    changed = (
+        f"exists({sl}, x -> x.i >= r.p AND x.i < r.q AND x.b <> x.d AND x.kind <> '<name>'"
+        f" AND exists({sl}, y -> (y.i < r.p OR y.i >= r.q) AND {clash}))"
+    )
+    return f"CASE WHEN {one('b')} AND {one('d')} THEN {whole} ELSE filter({parts}, r -> NOT {changed}) END"
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item found in it: where, how long, and if slots differ.
 
@@ -200,16 +230,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "transform(sequence(a, z - 1), j -> struct(IF(t[j + shift] = b_tpl[j], b_tpl[j], b_cl[j]) AS kind,"
         f" {_bare('b_words[j]')} AS b, {_bare('words[j + shift]')} AS d))"
     )
-    runs = runs.where(
-        F.col("z") - F.col("a") >= F.least(F.lit(MIN_WORDS), F.size("b_tpl"))
-    ).withColumn("all", slots)
-    runs = runs.withColumn("slots", F.expr("array_distinct(filter(all, s -> s.kind LIKE '<%>'))"))
-    literal = F.expr("size(filter(all, s -> s.b = s.d))")
-    consistent = F.expr(
-        "size(slots) = size(array_distinct(transform(slots, s -> struct(s.kind, s.b))))"
-        " AND size(slots) = size(array_distinct(transform(slots, s -> struct(s.kind, s.d))))"
+    enough = F.col("z") - F.col("a") >= F.least(F.lit(MIN_WORDS), F.size("b_tpl"))
+    runs = runs.where(enough).withColumn("all", slots)
+    # Only the whole run, if that is consistent; otherwise parts, from the run's own start.
+    runs = runs.withColumn(
+        "sl", F.expr("filter(transform(all, (s, i) -> struct(i, s.kind, s.b, s.d)), s -> s.kind LIKE '<%>')")
     )
-    good = runs.where(consistent & (literal >= F.least(F.lit(MIN_LITERAL), F.size("b_tpl"))))
+    runs = runs.withColumn("part", F.explode(F.expr(_consistent_parts("sl", "size(all)"))))
+    runs = runs.select(
+        "doc_id", "th", "item_id", "shift", "b_tpl",
+        F.expr("slice(all, part.p + 1, part.q - part.p)").alias("all"),
+        (F.col("a") + F.col("part.p")).alias("a"), (F.col("a") + F.col("part.q")).alias("z"),
+    ).where(enough)
+    literal = F.expr("size(filter(all, s -> s.b = s.d))")
+    good = runs.where(literal >= F.least(F.lit(MIN_LITERAL), F.size("b_tpl")))
     return (
         good.select(
             "doc_id", "th", "item_id",
@@ -217,7 +251,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 (F.col("z") - F.col("a")).cast("long").alias("n_words"),
                 (-F.col("a") - F.col("shift")).cast("long").alias("neg_start"),
                 F.col("a").cast("long").alias("item_start"),
-                F.expr("exists(slots, s -> s.b <> s.d)").alias("reworded"),
+                F.expr("exists(all, s -> s.kind LIKE '<%>' AND s.b <> s.d)").alias("reworded"),
             ).alias("best"),
         )
         .groupBy("doc_id", "th", "item_id")
