@@ -144,6 +144,15 @@ def test_trust_and_distrust_equal_power_iteration(spark):
         assert abs(r["trust"] - trust[r["host"]]) < 1e-3 and abs(r["distrust"] - distrust[r["host"]]) < 1e-3
 
 
+def test_distrust_reaches_far_hosts(spark):
+    links = [(f"h{i}", f"h{i + 1}", 1) for i in range(35)]
+    got = url_filter.propagate(
+        spark.createDataFrame([("h35", 0.0, 1.0)], "host string, trust double, distrust double"),
+        spark.createDataFrame(links, "src string, dst string, n long"),
+    ).collect()
+    assert len(got) == 36 and all(r["distrust"] > 0 for r in got)
+
+
 def test_links_of_pages(spark):
     html = '<p>//no.com/</p><A class=x HREF="http://B.com/1">x</a><a href=\'//c.net\'>y</a><a href="/own">z</a><a href="https://a.com/q">s</a>'
     df = spark.createDataFrame([(1, "http://a.com/x", html), (2, None, html), (3, "http://a.com/y", None)], "page_id long, url string, html string")

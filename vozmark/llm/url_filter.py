@@ -30,7 +30,8 @@ RULES = [
 MAX_RULES = 1000
 #: A host is a seed if rules block, or allow, this share of its pages.
 BLOCKED_SHARE, ALLOWED_SHARE = 0.5, 0.1
-DAMPING, MAX_ITERATIONS, TOLERANCE = 0.85, 30, 1e-6
+#: At this damping TOLERANCE is met after some 95 rounds at most; MAX_ITERATIONS is an error.
+DAMPING, MAX_ITERATIONS, TOLERANCE = 0.85, 200, 1e-6
 #: A host is blocked if its distrust is above this times its trust.
 DISTRUST_RATIO = 1.0
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -170,6 +171,8 @@ def propagate(seeds: DataFrame, links: DataFrame) -> DataFrame:
         rank = new
         if (moved or 0.0) < TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"scores still move by {moved} after {MAX_ITERATIONS} rounds")
     score = lambda k: F.sum(F.when(F.col("kind") == k, F.col("score"))).alias(k)
     return rank.groupBy("host").agg(score("trust"), score("distrust"))
 
