@@ -50,14 +50,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Adds each document's rate and number of copies for the target weights.
 
-    Columns rate and n_copies that are there already are replaced.
+    Every row stands once, whatever its rate: weights hold over rate or n_copies. Columns rate and n_copies that are there already are replaced.
     """
     docs = docs.drop("rate", "n_copies")
-    rates = mixing.mix(docs, table(spark, sf_dir, "labels")).select(
-        F.col("doc_id").alias("__id"), "rate", "n_copies"
-    )
-    rates = rates.dropDuplicates(["__id"])
-    return docs.join(rates, docs["doc_id"].eqNullSafe(rates["__id"]), "left").drop("__id")
+    rated = mixing.mix(docs, table(spark, sf_dir, "labels"), carry=True)
+    return rated.select("__row.*", "rate", "n_copies")
 
 
 STAGES = [

@@ -26,6 +26,20 @@ def test_stages_keep_columns_and_take_effect(spark, data, tmp_path):
     assert kept.count() == 0
 
 
+def test_rates_stay_with_their_rows(spark, data):
+    from vozmark.llm import mixing
+
+    docs = data("documents")
+    # One doc_id, and none, for texts that differ.
+    other = F.when(F.col("doc_id") % 4 == 0, F.lit(7)).when(F.col("doc_id") % 4 > 1, F.col("doc_id"))
+    docs = docs.withColumn("doc_id", other.cast("long"))
+    got = corpus_pipeline.mix_sources(spark, docs, "/root/testdata/sf0.001")
+    assert got.columns == [*docs.columns, "rate", "n_copies"] and got.count() == docs.count()
+    want = mixing.mix(docs, data("labels"))
+    sums = [F.count("*"), F.countDistinct("rate"), F.round(F.sum("rate"), 6), F.sum("n_copies")]
+    assert got.agg(*sums).first() == want.agg(*sums).first()
+
+
 def test_empty_documents(spark, data):
     empty = data("documents").where(F.lit(False))
     for name, stage in corpus_pipeline.STAGES:
