@@ -16,6 +16,10 @@ def test_entry_and_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_oracles_are_sql():
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())
+
+
 def test_features_end_to_end(spark, tmp_path):
     rng = np.random.default_rng(0)
     for speaker in ("ana", "rui"):

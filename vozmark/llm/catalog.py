@@ -50,18 +50,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_toxicity": lambda spark, sf_dir: toxicity.op1_toxicity(
-            table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-        ),
-        "op2_token_count": _over("documents", token_count.op2_token_count),
-        "op3_mixing": lambda spark, sf_dir: mixing.op3_mixing(
-            table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-        ),
-        "op4_chat_format": _over("conversations", chat_format.op4_chat_format),
-        "op5_decontamination": lambda spark, sf_dir: decontamination.op5_decontamination(
-            table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-        ),
-        "op6_near_dedup": _over("documents", near_dedup.near_duplicates),
         "op6_near_dedup": near_dedup.ORACLE,
         "op7_line_dedup": line_dedup.ORACLE,
         "op8_quality_rules": quality_rules.oracle(),
