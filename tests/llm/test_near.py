@@ -1,7 +1,9 @@
 import random
 import re
 
-from vozmark.llm import line_dedup, near_dedup
+import numpy as np
+
+from vozmark.llm import common, line_dedup, near_dedup
 
 
 def brute(texts):
@@ -47,6 +49,82 @@ def test_groups_equal_brute_force(spark):
     assert got == brute(texts)
 
 
+def test_blocks_and_hot_keys_equal_brute_force(spark, monkeypatch):
+    """Groups of 300 in blocks of 24 rows, with every key above 20 rows hot."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 24)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rng = random.Random(3)
+    texts, n = {}, 0
+    for g, size in ((0, 300), (1, 60)):
+        base = [f"g{g}w{rng.randrange(500)}" for _ in range(60)]
+        for _ in range(size):
+            # Near the threshold: about half of the pairs pass, and some stand alone.
+            texts[n] = noisy(rng, base, rng.choice([1, 2, 2, 3, 4, 6])) + " end" * rng.choice([1, 1, 25])
+            n += 1
+    for _ in range(30):
+        texts[n] = texts[0]
+        n += 1
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == brute(texts)
+
+
+def test_group_links_equal_all_pairs():
+    """The kernel, above and below SMALL rows, against all pairs of full sets."""
+    rng = random.Random(5)
+    signer = near_dedup.Signer()
+    for size in (40, 300):
+        base = [f"w{rng.randrange(900)}" for _ in range(70)]
+        sets = [near_dedup.shingle_set(noisy(rng, base, rng.choice([1, 2, 3, 5]))) for _ in range(size)]
+        sig = np.array([(signer.sign(s) & np.uint32(0xFFFF)).astype(np.uint16) for s in sets])
+        n = np.array([len(s) for s in sets])
+        rep = np.arange(size) + 1000
+        comp = np.where(np.arange(size) % 7 == 0, 0, rep)
+        side = (np.arange(size) % 2).astype(np.int64)
+        root = {int(c): int(c) for c in comp}
+
+        def find(root, x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        want = dict(root)
+        for a in range(size):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if side[a] + side[b] and 100 * both >= 75 * (n[a] + n[b] - both):
+                    want[find(want, int(comp[a]))] = find(want, int(comp[b]))
+        links = near_dedup.confirmed_links(side, rep, comp, n, sig, sets, near_dedup.bounds())
+        got = dict(root)
+        for a, b in links:
+            p, q = find(got, int(comp[a - 1000])), find(got, int(comp[b - 1000]))
+            assert p != q, "a forest has no link within a component"
+            got[p] = q
+        parts = lambda r: sorted(sorted(c for c in r if find(r, c) == t) for t in {find(r, c) for c in r})
+        assert parts(got) == parts(want)
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (3, b + " x")]
+    got = near_dedup.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["n_shingles"]) for r in got) == [
+        (1, 1, 36), (1, 1, 36), (2, 1, 37), (3, 1, 37), (3, 1, 37),
+    ]
+    rows = [(1, a), (7, b), (7, a + " x"), (9, b + " x")]
+    got = near_dedup.grouped(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (7, 1), (7, 7), (9, 7)]
+
+
+def test_components_of_chains_and_stars(spark):
+    chain = [(i, i + 1) for i in range(1, 60)]
+    star = [(500, i) for i in range(100, 160)] + [(i, 99) for i in (100, 130)]
+    edges = spark.createDataFrame(chain + star + [(7, 7)], "a long, b long")
+    got = {r["rep"]: r["comp"] for r in near_dedup.components(edges, common.Scratch(spark)).collect()}
+    assert {got[i] for i in range(1, 61)} == {1}
+    assert {got[i] for i in [99, 500, *range(100, 160)]} == {99}
+
+
 def test_near_edge_cases(spark, documents):
     got = near_dedup.near_duplicates(documents).collect()
     assert len(got) == 8

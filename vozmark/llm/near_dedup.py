@@ -7,12 +7,14 @@ compared batch by batch, and the pair is dropped once the posterior probability
 similarity reaches the threshold is below MISS; survivors are confirmed on full sets.
 Confirmed links make components.
 
-No bucket of a band is expanded into its pairs. Each member is first compared with the
-bucket's smallest member alone. Buckets whose members are then still in several components
-go on: twice in blocks of bounded size, in which every component offers its best links to
-others (a spanning forest), and at last completely: those outside the first member's
-component meet everyone in the bucket, block by block, and every surviving pair between
-different components is confirmed. Pairs within one component are never made.
+No bucket of a band is expanded into its pairs. Members are compared in groups of bounded
+size, each in one task, that hold signatures and full sets; a group gives out a spanning
+forest of confirmed links, so what it gives out grows with its rows, not with its pairs.
+Each bucket's hub, its member of the smallest number, first meets the others. Buckets whose
+members are then in several components go on: in rounds, every member stands in one block
+of one of its buckets; at last, in every such bucket, those outside its largest component
+meet each other and those inside, block by block. Pairs within one component, or whose set
+sizes alone exclude the threshold, are never looked at.
 
 Cases: documents without text or words have an empty set, link with nothing and are kept.
 Rows with a null doc_id link with nothing, have a null component and are kept. Repeated
@@ -26,19 +28,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick
+from .common import Scratch, attach, pick
 
 SHINGLE, PERCENT = 5, 75
 PERMUTATIONS, BANDS = 128, 32
 #: A pair is dropped if its chance to reach the threshold is below this, after each BATCH.
 MISS, BATCH = 1e-5, 32
-#: Rows compared at once.
-BLOCK = 512
+#: Rows of a block, and shingles (8 bytes each); a text of more is a block of its own.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 21
+#: Groups of more rows are compared batch by batch as matrices.
+SMALL = 64
 #: Ids up to this number (8 bytes each) are broadcast to choose texts; beyond, a join shuffles.
 MAX_BROADCAST = 2_000_000
+#: Rounds in blocks before the complete one; fewer if one finds nothing. They only save work.
 FOREST_ROUNDS = 2
 _MASK = (1 << 64) - 1
 
@@ -96,28 +101,29 @@ class Signer:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, fp1, fp2, sig, bands) of each row; sig holds 16 bits of each minimum."""
+    """(doc_id, th, n, fp1, fp2, sig, bands) of each row (doc_id, th, text); sig holds 16 bits of
+    each minimum."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer = Signer()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, th, text in zip(batch["doc_id"], batch["th"], batch["text"], strict=True):
                 s = shingle_set(text)
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
                 if not len(s) or doc_id is None:
-                    rows.append((doc_id, len(s), None, None, None, None))
+                    rows.append((doc_id, th, len(s), None, None, None, None))
                     continue
                 low = signer.sign(s)
                 fp1 = int(_mix(s + np.uint64(1)).sum(dtype=np.uint64).view(np.int64))
                 fp2 = int(_mix(s ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64))
                 sig = (low & np.uint32(0xFFFF)).astype(np.uint16).tobytes()
-                rows.append((doc_id, len(s), fp1, fp2, sig, signer.bands(low)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "fp1", "fp2", "sig", "bands"])
+                rows.append((doc_id, th, len(s), fp1, fp2, sig, signer.bands(low)))
+            out = pd.DataFrame(rows, columns=["doc_id", "th", "n", "fp1", "fp2", "sig", "bands"])
             yield out.astype({"doc_id": "Int64", "fp1": "Int64", "fp2": "Int64"})
 
-    schema = "doc_id long, n long, fp1 long, fp2 long, sig binary, bands array<long>"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    schema = "doc_id long, th long, n long, fp1 long, fp2 long, sig binary, bands array<long>"
+    return docs.select("doc_id", "th", "text").mapInPandas(run, schema)
 
 
 def least_matches(k: int, percent: int = PERCENT, miss: float = MISS) -> int:
@@ -147,306 +153,334 @@ def compare(a: np.ndarray, b: np.ndarray, limits) -> tuple[np.ndarray, np.ndarra
     return left, matches
 
 
-def _sigs(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint16).reshape(-1, PERMUTATIONS)
-
-
-def screen(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) that survive sequential verification, with their matches."""
-    limits = bounds()
-    one = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
-    two = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-
-    def run(batches):
-        for batch in batches:
-            left, matches = compare(_sigs(batch["sig_a"]), _sigs(batch["sig_b"]), limits)
-            yield pd.DataFrame(
-                {"a": batch["a"].to_numpy()[left], "b": batch["b"].to_numpy()[left], "matches": matches}
-            )
-
-    return pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long, matches int")
-
-
-def _candidates(limits, everything: bool):
-    """Kernel over groups of rows (g, side, rep, comp, sig): surviving pairs across components.
-
-    Rows of side 0 stand in the first member's component or belong to the second block of a
-    pair of blocks; they meet side 1 alone. Without ``everything`` only a spanning forest of
-    the components is given, best matches first.
-    """
-
-    def group(side, rep, comp, sig):
-        n = len(rep)
+def _fits(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can reach the threshold at all."""
+    return 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
+
+
+def _shared(items: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets i (ascending) with the sets j."""
+    out = np.zeros(len(i), np.int64)
+    at = 0
+    while at < len(i):
+        mine, stop, total = items[i[at]], at, 0
+        while stop < len(i) and i[stop] == i[at] and (stop == at or total + len(items[j[stop]]) <= BLOCK_SHINGLES):
+            total += len(items[j[stop]])
+            stop += 1
+        theirs = [items[k] for k in j[at:stop]]
+        starts = np.cumsum([0, *map(len, theirs[:-1])])
+        theirs = np.concatenate(theirs)
+        place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+        out[at:stop] = np.add.reduceat((mine[place] == theirs).astype(np.int64), starts)
+        at = stop
+    return out
+
+
+def _survivors(side, comp, n, sig, limits):
+    """(i, j, matches) of a group's pairs that pass every batch. Only pairs of two components,
+    of sizes that fit, and with one of side 1 at least are compared."""
+    if len(n) <= SMALL:
+        i, j = np.triu_indices(len(n), 1)
+        ok = (comp[i] != comp[j]) & ((side[i] > 0) | (side[j] > 0)) & _fits(n[i], n[j])
+        i, j = i[ok], j[ok]
+    else:
         ones, zeros = np.flatnonzero(side > 0), np.flatnonzero(side == 0)
-        if n <= 64:
-            i, j = np.triu_indices(n, 1)
-            ok = (comp[i] != comp[j]) & ((side[i] > 0) | (side[j] > 0))
-            i, j = i[ok], j[ok]
-        else:
-            start, stop, least = limits[0]
-            parts = []
-            for x, y in ((ones, ones), (ones, zeros)):
-                if not len(x) or not len(y):
-                    continue
-                count = np.zeros((len(x), len(y)), np.uint8)
+        start, stop, least = limits[0]
+        parts = []
+        for x, y in ((ones, ones), (ones, zeros)):
+            for at in range(0, len(x) if len(y) else 0, BLOCK):
+                some = x[at : at + BLOCK]
+                count = np.zeros((len(some), len(y)), np.uint8)
                 for k in range(start, stop):
-                    count += sig[x, k][:, None] == sig[y, k][None, :]
+                    count += sig[some, k][:, None] == sig[y, k][None, :]
                 u, v = np.nonzero(count >= least)
-                u, v = x[u], y[v]
-                ok = comp[u] != comp[v]
+                u, v = some[u], y[v]
+                ok = (comp[u] != comp[v]) & _fits(n[u], n[v])
                 if y is ones:
                     ok &= u < v
                 parts.append((u[ok], v[ok]))
-            i = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, int)
-            j = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, int)
-        if not len(i):
-            return None
-        left, matches = compare(sig[i], sig[j], limits)
-        if not len(left):
-            return None
-        i, j = i[left], j[left]
-        if not everything:
-            root: dict[int, int] = {}
-
-            def find(x):
-                while (up := root.get(x, x)) != x:
-                    x = up
-                return x
-
-            taken = []
-            for at in np.argsort(-matches, kind="stable"):
-                p, q = find(int(comp[i[at]])), find(int(comp[j[at]]))
-                if p != q:
-                    root[p] = q
-                    taken.append(at)
-            i, j, matches = i[taken], j[taken], matches[taken]
-        low, high = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-        return pd.DataFrame({"a": low, "b": high, "matches": matches})
+        i = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int64)
+        j = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.int64)
+    left, matches = compare(sig[i], sig[j], limits)
+    return i[left], j[left], matches
+
+
+def confirmed_links(side, rep, comp, n, sig, items, limits) -> list[tuple[int, int]]:
+    """A spanning forest, between components, of the links in a group.
+
+    Survivors are confirmed on full sets, best matches first, some of each row at a time;
+    pairs that links found by then have put into one component need no test.
+    """
+    root: dict[int, int] = {}
+
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    i, j, matches = _survivors(side, comp, n, sig, limits)
+    order = np.lexsort((-matches, i))
+    i, j = i[order], j[order]
+    out, take = [], 1
+    while len(i):
+        first = np.searchsorted(i, i)  # where each row's pairs begin
+        now = np.arange(len(i)) - first < take
+        p, q = i[now], j[now]
+        both = _shared(items, p, q)
+        for a, b in zip(*(x[100 * both >= PERCENT * (n[p] + n[q] - both)] for x in (p, q)), strict=True):
+            u, v = find(int(comp[a])), find(int(comp[b]))
+            if u != v:
+                root[u] = v
+                out.append((min(rep[a], rep[b]), max(rep[a], rep[b])))
+        i, j = i[~now], j[~now]
+        if len(i):
+            top = np.array([find(int(c)) for c in comp])
+            apart = top[i] != top[j]
+            i, j = i[apart], j[apart]
+        take *= 2
+    return out
+
+
+def _linked(limits):
+    """Kernel over rows (g, side, rep, comp, n, sig, items), sorted by group: confirmed links."""
+
+    def columns(held: list[pd.DataFrame]) -> dict[str, np.ndarray]:
+        return {c: np.concatenate([b[c].to_numpy() for b in held]) for c in held[0].columns}
+
+    def links(c, s, e):
+        if e - s < 2:
+            return []
+        sig = np.frombuffer(b"".join(c["sig"][s:e]), np.uint16).reshape(-1, PERMUTATIONS)
+        items = [np.frombuffer(x, np.uint64) for x in c["items"][s:e]]
+        return confirmed_links(c["side"][s:e], c["rep"][s:e], c["comp"][s:e], c["n"][s:e], sig, items, limits)
 
     def run(batches):
-        held, out, size = None, [], 0
+        held: list[pd.DataFrame] = []  # rows of the group at the end of what was read
         for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            g = held["g"].to_numpy()
-            edges = np.flatnonzero(np.diff(g)) + 1
-            if not len(edges):
+            if not len(batch):
+                continue
+            g = batch["g"].to_numpy()
+            if held and held[0]["g"].iloc[0] == g[-1]:
+                held.append(batch)
                 continue
-            whole = edges[-1]
-            for found in each(held.iloc[:whole], edges[:-1]):
-                out.append(found)
-                size += len(found)
-            held = held.iloc[whole:]
-            if size > 10_000:
-                yield pd.concat(out)
-                out, size = [], 0
-        if held is not None and len(held):
-            out += list(each(held, np.empty(0, int)))
-        if out:
-            yield pd.concat(out)
-
-    def each(frame, edges):
-        side, rep, comp = (frame[c].to_numpy() for c in ("side", "rep", "comp"))
-        sig = _sigs(frame["sig"])
-        cuts = [0, *edges.tolist(), len(frame)]
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if e - s > 1:
-                found = group(side[s:e], rep[s:e], comp[s:e], sig[s:e])
-                if found is not None:
-                    yield found
+            last = int(np.searchsorted(g, g[-1]))
+            c = columns([*held, batch.iloc[:last]])
+            cuts = [0, *(np.flatnonzero(np.diff(c["g"])) + 1).tolist(), len(c["g"])]
+            out = [x for s, e in zip(cuts[:-1], cuts[1:], strict=True) for x in links(c, s, e)]
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            held = [batch.iloc[last:]]
+        if held:
+            c = columns(held)
+            yield pd.DataFrame(links(c, 0, len(c["g"])), columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
-    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
-    few = ids.count() <= MAX_BROADCAST
-    wanted = F.broadcast(ids) if few else ids
+def with_sets(wanted: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rep, n, sig, items) of wanted (rep, n, doc_id, th, sig): full sets from the texts."""
+    few = wanted.count() <= MAX_BROADCAST
+    ids = wanted.select("rep", "doc_id", "th")
+    # Rows that share an id and a text are one; any of them will do.
+    texts = docs.join(F.broadcast(ids) if few else ids, ["doc_id", "th"]).select("rep", "text")
 
     def build(batches):
         for batch in batches:
             sets = [shingle_set(t).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"rep": batch["rep"], "items": sets})
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
     sets = texts.mapInPandas(build, "rep long, items binary")
+    rows = wanted.select("rep", "n", "sig").join(sets, "rep").dropDuplicates(["rep"])
+    return scratch.keep(rows)
 
-    def check(batches):
-        for batch in batches:
-            good = []
-            for x, y in zip(batch["items_a"], batch["items_b"], strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-            yield batch.loc[good, ["a", "b"]]
-
-    sets = scratch.keep(sets)
-    one = sets.select(F.col("rep").alias("a"), F.col("items").alias("items_a"))
-    two = sets.select(F.col("rep").alias("b"), F.col("items").alias("items_b"))
-    linked = pairs.select("a", "b").join(one, "a").join(two, "b").mapInPandas(check, "a long, b long")
-    linked = scratch.keep(linked.distinct())
-    scratch.drop(ids, sets)
-    return linked
+
+def _stars(edges: DataFrame) -> bool:
+    """True if every larger end has one smaller end, which is no larger end itself."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("high"), F.lit(0).alias("low")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("high"), F.lit(1).alias("low"))
+    )
+    return ends.groupBy("x").agg(F.sum("high").alias("h"), F.max("low").alias("l")).where("h > 1 or h > 0 and l > 0").isEmpty()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(rep, comp) of every id in an edge, comp being the smallest reachable.
+    """(rep, comp) of every id in an edge (a, b), comp being the smallest reachable.
 
-    Large-star and small-star steps by turns; each moves edges towards the smallest ids,
-    and a star with a hot centre is joined with the centre's one minimum.
+    Large-star and small-star steps by turns move edges towards the smallest ids until all
+    are stars. The joins with a centre's one minimum are safe for a hot centre.
     """
+
+    def least(df: DataFrame) -> DataFrame:
+        return df.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg"))
+
     now = scratch.keep(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     )
-    seen = None
-    while True:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u")
+        large = (
+            attach(both, least(both), ["u"], "deg")
+            .where("v > u")
+            .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+            .distinct()
+        )
+        large = scratch.keep(large)
+        small = least(large)
+        new = (
+            attach(large, small, ["u"], "deg")
             .where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v")))
+            .unionByName(small.select("u", F.col("m").alias("v")))
+            .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         )
-        new = scratch.keep(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        state = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-        scratch.drop(now)
+        new = scratch.keep(new.where("u <> v").distinct())
+        scratch.drop(now, large)
         now = new
-        if state == seen:
-            break
-        seen = state
     return now.select(F.col("u").alias("rep"), F.col("v").alias("comp")).unionByName(
         now.select(F.col("v").alias("rep"), F.col("v").alias("comp")).distinct()
     )
 
 
-def _grouped(open_rows: DataFrame, turn: int, everything: bool) -> DataFrame:
-    """Rows of unsettled buckets dealt into groups of bounded size.
+def _blocks(rows: str, shingles: str) -> Column:
+    need = F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES), F.lit(1))
+    return need.cast("int")
+
 
-    open_rows: (key, rep, comp, first, m_in, m_out, sig): first is the first member's
-    component, m_in and m_out count the members inside and outside it.
+def _dealt(rows: DataFrame, turn: int) -> DataFrame:
+    """Rows (key, rep, comp, m, s, ...) of unsettled buckets, each row in one block of one bucket.
+
+    A row's bucket is the first by a hash of the turn, so that rows that share many
+    buckets mostly choose the same.
     """
-    inside = F.col("comp") == F.col("first")
-    blocks = lambda m: F.ceil(F.col(m) / BLOCK).cast("int")
-    if not everything:
-        # Inside and outside rows are dealt alike, so that every block has some of both.
-        n = F.greatest(F.lit(1), F.ceil((F.col("m_in") + F.col("m_out")) / BLOCK).cast("int"))
-        block = F.pmod(F.xxhash64(F.lit(turn), "rep"), n)
-        return open_rows.select(
-            F.xxhash64("key", block).alias("g"), F.when(inside, 0).otherwise(1).alias("side"), "rep", "comp", "sig"
-        )
-    rows = open_rows.withColumns(
-        {
-            "n_out": F.greatest(F.lit(1), blocks("m_out")),
-            "n_in": blocks("m_in"),
-        }
-    )
+    choice = F.struct(F.xxhash64(F.lit(turn), "key").alias("h"), "key", "comp", "m", "s")
+    one = rows.groupBy("rep").agg(F.min(choice).alias("c")).select("rep", "c.*")
+    block = F.pmod(F.xxhash64(F.lit(turn), "rep"), _blocks("m", "s"))
+    return one.select(F.xxhash64("key", block).alias("g"), F.lit(1).alias("side"), "rep", "comp")
+
+
+def _complete(rows: DataFrame) -> DataFrame:
+    """All rows of unsettled buckets, dealt so that those outside the largest component meet
+    everyone: outside block i with outside block j >= i, and with every inside block.
+
+    rows: (key, rep, comp, big, m_in, s_in, m_out, s_out), big being that component.
+    """
+    inside = F.col("comp") == F.col("big")
+    rows = rows.withColumns({"n_in": _blocks("m_in", "s_in"), "n_out": _blocks("m_out", "s_out")})
     own = F.pmod(F.xxhash64(F.lit("own"), "rep"), F.when(inside, F.col("n_in")).otherwise(F.col("n_out")))
-    rows = rows.withColumn("own", own)
-    # Block pairs: outside i with outside j >= i, and outside i with inside j.
+    rows = rows.withColumn("own", own.cast("int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("other")
+    base = ["key", "rep", "comp", "own"]
     outside = rows.where(~inside)
-    with_out = outside.select(
-        "key", "rep", "comp", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("other")
-    ).select(
+    out = outside.select(*base, every("n_out")).select(
         F.xxhash64("key", F.lit("out"), F.least("own", "other"), F.greatest("own", "other")).alias("g"),
-        F.when(F.col("own") <= F.col("other"), 1).otherwise(0).alias("side"),
-        "rep",
-        "comp",
-        "sig",
+        # The later block of two stands on side 0: its own pairs are made in its own group.
+        F.when(F.col("own") <= F.col("other"), 1).otherwise(0).alias("side"), "rep", "comp",
+    )
+    with_in = outside.where("m_in > 0").select(*base, every("n_in")).select(
+        F.xxhash64("key", F.lit("in"), "own", "other").alias("g"), F.lit(1).alias("side"), "rep", "comp"
     )
-    with_in = outside.where("n_in > 0").select(
-        "key", "rep", "comp", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("n_in") - 1)).alias("other")
-    ).select(F.xxhash64("key", F.lit("in"), "own", "other").alias("g"), F.lit(1).alias("side"), "rep", "comp", "sig")
-    within = rows.where(inside).select(
-        "key", "rep", "comp", "sig", F.col("own").alias("at"),
-        F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("own"),
-    ).select(F.xxhash64("key", F.lit("in"), "own", "at").alias("g"), F.lit(0).alias("side"), "rep", "comp", "sig")
-    return with_out.unionByName(with_in).unionByName(within)
+    within = rows.where(inside).select(*base, every("n_out")).select(
+        F.xxhash64("key", F.lit("in"), "other", "own").alias("g"), F.lit(0).alias("side"), "rep", "comp"
+    )
+    return out.unionByName(with_in).unionByName(within)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    rows = pick(docs, doc_id="long", text="string")
+    return grouped(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, n_shingles, component_id, kept) of every row, th being xxhash64 of its text."""
+    scratch = Scratch(docs.sparkSession)
+    rows = pick(docs, doc_id="long", text="string").withColumn("th", F.xxhash64("text"))
     signed = scratch.keep(signatures(rows))
-    named = signed.where("fp1 is not null")
+    # Texts of one set are one representative, whose number is given as the table is written.
     reps = scratch.keep(
-        named.groupBy("fp1", "fp2", "n").agg(
-            F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
+        signed.where("fp1 is not null")
+        .groupBy("fp1", "fp2", "n")
+        .agg(
+            F.min(F.struct("doc_id", "th")).alias("d"), F.first("sig").alias("sig"),
+            F.first("bands").alias("bands"), F.count("*").alias("copies"),
         )
+        .select(F.monotonically_increasing_id().alias("rep"), "n", "fp1", "fp2", "d.*", "sig", "bands", "copies")
     )
-    sigs = reps.select("rep", "sig")
-    keyed = reps.select("rep", F.explode("bands").alias("key"))
+    keyed = reps.select("rep", "n", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    buckets = scratch.keep(keyed.join(sizes, "key"))
-
-    # Everyone with the smallest member of each of its buckets.
-    stars = buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    passed = scratch.keep(screen(stars, sigs))
-    best = passed.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
-    tested = scratch.keep(best)
-    links = confirm(tested, rows, scratch)
-    comps = scratch.keep(components(links, scratch))
+    sizes = scratch.keep(sizes)
+    buckets = scratch.keep(attach(keyed, sizes, ["key"], "m"))
+    wanted = reps.join(buckets.select("rep").distinct(), "rep", "left_semi")
+    sets = with_sets(scratch.keep(wanted.select("rep", "n", "doc_id", "th", "sig")), rows, scratch)
+    limits = bounds()
 
-    def across(pairs: DataFrame) -> DataFrame:
-        of = lambda c, n: comps.select(F.col("rep").alias(c), F.col("comp").alias(n))
-        return (
-            pairs.join(of("a", "ca"), "a", "left")
-            .join(of("b", "cb"), "b", "left")
-            .where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-            .select("a", "b")
-        )
+    def find_links(dealt: DataFrame) -> DataFrame:
+        """Links (a, b) found in rows (g, side, rep, comp)."""
+        full = dealt.join(sets, "rep").select("g", "side", "rep", "comp", "n", "sig", "items")
+        there = full.repartition("g").sortWithinPartitions("g")
+        return scratch.keep(there.mapInPandas(_linked(limits), "a long, b long"))
+
+    # Every hub with the others of its buckets, each pair once.
+    pairs = scratch.keep(buckets.where("rep <> hub").select("hub", "rep", "n").distinct())
+    hubs = scratch.keep(pairs.groupBy("hub").agg(F.count("*").alias("m"), F.sum("n").alias("s")))
+    blocks = _blocks("m", "s")
+    group = lambda block: F.xxhash64("hub", block).alias("g")
+    members = attach(pairs, hubs, ["hub"], "m").select(
+        group(F.pmod(F.xxhash64("rep"), blocks).cast("int")), F.lit(0).alias("side"), "rep", F.col("rep").alias("comp")
+    )
+    centres = hubs.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+        group(F.col("block")), F.lit(1).alias("side"), F.col("hub").alias("rep"), F.col("hub").alias("comp")
+    )
+    links = find_links(members.unionByName(centres))
+    comps = scratch.keep(components(links, scratch))
 
-    def settle(pairs: DataFrame) -> bool:
-        """Confirms pairs across components that weren't tested yet; True if there were any."""
-        nonlocal tested, links, comps
-        new = scratch.keep(across(pairs.select("a", "b").distinct()).join(tested, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            return False
-        more = confirm(new, rows, scratch)
-        tested = scratch.keep(tested.unionByName(new))
-        if not more.isEmpty():
-            links = scratch.keep(links.unionByName(more))
-            comps = scratch.keep(components(links, scratch))
-        return True
-
-    settle(passed)
-    for turn in range(FOREST_ROUNDS + 1):
-        everything = turn == FOREST_ROUNDS
+    turn = 0
+    while True:
         placed = buckets.where("m > 2").join(comps, "rep", "left").select(
-            "key", "rep", F.coalesce("comp", "rep").alias("comp")
-        )
-        unsettled = (
-            placed.groupBy("key")
-            .agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count("*").alias("m"))
-            .where("first <> last")
+            "key", "rep", "n", F.coalesce("comp", "rep").alias("comp")
         )
-        inside = (
-            placed.join(unsettled, "key")
-            .groupBy("key", "first", "m")
-            .agg(F.sum((F.col("comp") == F.col("first")).cast("int")).alias("m_in"))
-            .withColumn("m_out", F.col("m") - F.col("m_in"))
+        parts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+        open_keys = scratch.keep(
+            parts.groupBy("key")
+            .agg(F.max(F.struct("c", "s", "comp")).alias("big"), F.sum("c").alias("m"), F.sum("s").alias("s"))
+            .where("big.c < m")
+            .select(
+                "key", "m", "s", F.col("big.comp").alias("big"), F.col("big.c").alias("m_in"),
+                F.col("big.s").alias("s_in"), (F.col("m") - F.col("big.c")).alias("m_out"),
+                (F.col("s") - F.col("big.s")).alias("s_out"),
+            )
         )
-        open_rows = placed.join(inside, "key").join(sigs, "rep")
-        grouped = _grouped(open_rows, turn, everything)
-        dealt = grouped.repartition("g").sortWithinPartitions("g")
-        found = scratch.keep(
-            dealt.mapInPandas(_candidates(bounds(), everything), "a long, b long, matches int")
+        if open_keys.isEmpty():
+            break
+        open_rows = scratch.keep(attach(placed, open_keys, ["key"], "m"))
+        complete = turn >= FOREST_ROUNDS
+        new = find_links(_complete(open_rows) if complete else _dealt(open_rows, turn))
+        none = new.isEmpty()
+        if not none:
+            stars = comps.select(F.col("rep").alias("a"), F.col("comp").alias("b"))
+            comps = scratch.keep(components(stars.unionByName(new), scratch))
+        scratch.drop(open_keys, open_rows, new)
+        if complete:
+            break
+        turn = FOREST_ROUNDS if none else turn + 1
+    named = comps.join(reps.select("rep", "doc_id"), "rep")
+    firsts = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size"))
+    firsts = scratch.keep(firsts)
+    member = attach(comps, firsts, ["comp"], "size").select("rep", "component_id")
+    by_set = scratch.keep(
+        reps.select("rep", "fp1", "fp2", "n", "doc_id", "copies").join(member, "rep", "left").select(
+            "fp1", "fp2", "n", F.coalesce("component_id", "doc_id").alias("component_id"), "copies"
         )
-        if not settle(found) and not everything:
-            # Nothing new within blocks; only the complete comparison is left.
-            continue
-    by_set = reps.join(comps, "rep", "left").select(
-        "fp1", "fp2", "n", F.coalesce("comp", "rep").alias("component_id")
     )
-    return signed.select("doc_id", "n", "fp1", "fp2").join(by_set, ["fp1", "fp2", "n"], "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
+    ids = ["fp1", "fp2", "n"]
+    whole = signed.where("fp1 is not null").select("doc_id", "th", *ids)
+    found = attach(whole, by_set, ids, "copies").select("doc_id", "th", "n", "component_id")
+    bare = signed.where("fp1 is null").select("doc_id", "th", "n", F.col("doc_id").alias("component_id"))
+    return scratch.last(
+        found.unionByName(bare).select(
+            "doc_id",
+            "th",
+            F.col("n").alias("n_shingles"),
+            "component_id",
+            F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"),
+        )
     )
 
 
