@@ -44,3 +44,39 @@ def test_empty_documents(spark, data):
     empty = data("documents").where(F.lit(False))
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "/root/testdata/sf0.001").count() == 0, name
+
+
+def test_one_row_of_a_group_stays(spark):
+    """Repeated rows, rows that share a doc_id, and null and empty texts, by place of the row."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [
+        (1, a, 0), (1, a, 1), (1, b, 2), (2, a + " x", 3), (3, b + " x", 4), (None, a, 5), (None, a, 6),
+        (4, None, 7), (4, None, 8), (5, "", 9), (6, "c d", 10), (6, "c d", 11),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id2 long")
+    got = corpus_pipeline.dedup_near(spark, df, "")
+    assert got.columns == df.columns
+    left = sorted(r["id2"] for r in got.collect())
+    assert left in ([first, 2, 5, 6, 7, 8, 9, last] for first in (0, 1) for last in (10, 11))
+
+
+def test_stages_take_any_rows(spark, documents):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing extra columns."""
+    new = ["row", "th", "N_Lines", "lang_pred", "Rate", "id", "spans", "words", "t", "kept", "n_tokens"]
+    docs = documents.drop("words")
+    for c in new:
+        docs = docs.withColumn(c, F.lit(f"own {c}"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert [c for c in out.columns if c in docs.columns] == [
+            c for c in docs.columns if name != "mixing" or c != "Rate"
+        ], name
+        got = out.collect()
+        assert got and all(r[c] == f"own {c}" for r in got for c in new if c in out.columns and c != "Rate"), name
+        if name in ("decontamination", "mixing", "line_dedup"):
+            assert len(got) == docs.count(), name
+        if name == "language_id":
+            # A null text, and texts without a letter, go.
+            assert {r["doc_id"] for r in got} <= {1, 4, None}
+        if name == "near_dedup":
+            assert len(got) == docs.count() - 1

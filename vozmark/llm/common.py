@@ -13,6 +13,8 @@ SPACE_RE = r"[\x20\x09-\x0D]+"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 #: A key is hot with more rows than this, and than this share of all rows.
 HOT_ROWS, HOT_SHARE = 2000, 0.001
+#: Rows of a few numbers up to this many are broadcast; beyond, joins shuffle.
+MAX_BROADCAST = 2_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -63,6 +65,12 @@ def carried(df: DataFrame, new: list[str], **types: str) -> DataFrame:
     return df.select(row.alias("row"), *read)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df`` for broadcast if it has no more than MAX_BROADCAST rows, else as it is. For rows
+    of a few numbers alone."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
 def attach(left: DataFrame, right: DataFrame, keys: list[str], count: str, kind: str = "inner") -> DataFrame:
     """``left`` joined with ``right``, which has one row a key and in ``count`` how many rows of
     ``left`` the key has. Keys with more than HOT_ROWS rows and HOT_SHARE of all are no

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, words_of
+from .common import Scratch, carried, pick, small, words_of
 
 WINDOW = 8
 #: A common run counts from this many words on, or with the whole of a shorter item.
@@ -266,13 +266,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows in whose text an item was found; columns unchanged."""
     leaks = find_leaks(docs, benchmark).select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__th")
-    ).distinct()
-    return docs.join(
-        leaks,
-        docs["doc_id"].eqNullSafe(leaks["__id"]) & (F.xxhash64(docs["text"]) == leaks["__th"]),
-        "left_anti",
+        F.col("doc_id").alias("__leak_id"), F.col("text_hash").alias("__leak_th")
     )
+    rows = carried(docs, [], doc_id="long", text="string")
+    same = F.col("doc_id").eqNullSafe(F.col("__leak_id")) & (F.xxhash64("text") == F.col("__leak_th"))
+    return rows.join(small(Scratch(docs.sparkSession).keep(leaks.distinct())), same, "left_anti").select("row.*")
 
 
 def op5_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

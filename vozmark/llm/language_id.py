@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, pick, words_of
+from .common import carried, held_out, pick, words_of
 
 UNDETERMINED = "und"
 #: Bounds of the sample that a language's dictionary is made of: its documents, the words
@@ -104,11 +104,16 @@ def _judge(texts: pd.Series, coders: list, langs: list[str], min_margin: float):
 
 
 def detect(
-    docs: DataFrame, model: dict[str, bytes], level: int = LEVEL, min_margin: float = MIN_MARGIN
+    docs: DataFrame,
+    model: dict[str, bytes],
+    level: int = LEVEL,
+    min_margin: float = MIN_MARGIN,
+    carry: bool = False,
 ) -> DataFrame:
     """``docs`` with lang_pred, lang_score, lang_margin and lang_rejected for the whole text.
 
-    Columns of these names that are there already are replaced.
+    Columns of these names that are there already are replaced; with ``carry`` the caller's
+    row stays whole, as a struct ``row``.
     """
     langs = list(model)
     schema = "lang_pred string, lang_score double, lang_margin double, lang_rejected boolean"
@@ -132,10 +137,9 @@ def detect(
                 columns=["lang_pred", "lang_score", "lang_margin", "lang_rejected"],
             )
 
-    names = ("lang_pred", "lang_score", "lang_margin", "lang_rejected")
-    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in names]
-    judged = docs.select(*own, judge(F.col("text").cast("string")).alias("__lang"))
-    return judged.select(*own, "__lang.*")
+    new = ["lang_pred", "lang_score", "lang_margin", "lang_rejected"]
+    judged = carried(docs, [] if carry else new, text="string").select("row", judge("text").alias("lang"))
+    return judged.select("row" if carry else "row.*", "lang.*")
 
 
 def op10_language_id(docs: DataFrame) -> DataFrame:

@@ -9,8 +9,8 @@ Cases: null text stays null; a text with fewer than three such lines keeps them
 Lines without a word are never covered, but a text of which no line with a word is left
 becomes empty. Rows that share a doc_id (a null one comes first) and a text are one place
 and are cut alike; of rows that share a doc_id alone, windows at the same place are both
-first. Other columns are kept as they are, whatever their names. Windows are compared by
-two independent 64-bit hashes.
+first. Other columns are kept as they are, but for those named like a result, which are
+replaced. Windows are compared by two independent 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -18,12 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = 3
-_OWN = ["__id", "__th", "__k", "__a", "__b"]
-
+from .common import MAX_BROADCAST, Scratch, carried
 
-def _lines(text: str) -> Column:
-    return F.expr(f"split({text}, '\\n', -1)")
+WINDOW = 3
 
 
 def _has_word(name: str) -> str:
@@ -45,17 +42,17 @@ def windows(docs: DataFrame) -> DataFrame:
         )
     )
     rows = docs.where(F.col("text").isNotNull()).select(
-        F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th"), trimmed.alias("__l")
+        F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), trimmed.alias("l")
     )
     hashed = F.expr(
-        f"transform(sequence(0, size(__l) - {WINDOW}), i ->"
-        " struct(i AS k, xxhash64(__l[i], __l[i + 1], __l[i + 2]) AS a,"
-        " xxhash64('second', __l[i + 2], __l[i + 1], __l[i]) AS b))"
+        f"transform(sequence(0, size(l) - {WINDOW}), i ->"
+        " struct(i AS k, xxhash64(l[i], l[i + 1], l[i + 2]) AS a,"
+        " xxhash64('second', l[i + 2], l[i + 1], l[i]) AS b))"
     )
     return (
-        rows.where(F.size("__l") >= WINDOW)
-        .select("__id", "__th", F.explode(hashed).alias("w"))
-        .select("__id", "__th", F.col("w.k").alias("__k"), F.col("w.a").alias("__a"), F.col("w.b").alias("__b"))
+        rows.where(F.size("l") >= WINDOW)
+        .select("id", "th", F.explode(hashed).alias("w"))
+        .select("id", "th", F.col("w.k").alias("k"), F.col("w.a").alias("a"), F.col("w.b").alias("b"))
     )
 
 
@@ -68,55 +65,72 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     places = windows(docs)
     first = (
-        places.groupBy("__a", "__b")
-        .agg(F.min(F.struct("__id", "__k")).alias("first"), F.count("*").alias("n"))
+        places.groupBy("a", "b")
+        .agg(F.min(F.struct("id", "k")).alias("first"), F.count("*").alias("n"))
         .where(F.col("n") > 1)
         .drop("n")
     )
-    later = places.join(first, ["__a", "__b"]).where(
-        ~F.struct("__id", "__k").eqNullSafe(F.col("first"))
+    later = places.join(first, ["a", "b"]).where(
+        ~F.struct("id", "k").eqNullSafe(F.col("first"))
     )
-    starts = later.groupBy("__id", "__th").agg(F.sort_array(F.collect_set("__k")).alias("s"))
+    starts = later.groupBy("id", "th").agg(F.sort_array(F.collect_set("k")).alias("s"))
     begin = f"filter(s, (v, i) -> i = 0 OR v - get(s, i - 1) > {WINDOW})"
     end = f"filter(s, (v, i) -> i = size(s) - 1 OR get(s, i + 1) - v > {WINDOW})"
     spans = f"zip_with({begin}, {end}, (a, b) -> struct(a AS first, b + {WINDOW - 1} AS last))"
-    return starts.select("__id", "__th", F.expr(spans).alias("spans"))
+    return starts.select("id", "th", F.expr(spans).alias("spans"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, carry: bool = False) -> DataFrame:
     """``docs`` with text cut, and with n_lines, n_removed and removed_spans.
 
-    Spans number the lines that hold a word, from 0.
+    Spans number the lines that hold a word, from 0. Columns n_lines, n_removed and
+    removed_spans that are there already are replaced; with ``carry`` the caller's row stays
+    whole, as a struct ``row`` beside them and the text.
     """
-    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "removed_spans")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own]).withColumns(
-        {"__id": F.col("doc_id"), "__th": F.xxhash64("text")}
-    )
-    spans = repeats(docs.select("doc_id", F.col("text").cast("string").alias("text")))
-    joined = rows.join(
-        spans.withColumnsRenamed({"__id": "__id2", "__th": "__th2", "spans": "__spans"}),
-        F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__th") == F.col("__th2")),
-        "left",
-    )
-    gone = F.expr("flatten(transform(__spans, s -> sequence(s.first, s.last)))")
-    split = joined.withColumn("__lines", F.expr("split(text, '\\n', -1)"))
+    scratch = Scratch(docs.sparkSession)
+    new = ["n_lines", "n_removed", "removed_spans"]
+    rows = carried(docs, [] if carry else new, doc_id="long", text="string")
+    rows = rows.withColumn("th", F.xxhash64("text"))
+    spans = scratch.keep(repeats(rows.select("doc_id", "text")))
+    total = spans.agg(F.count("*"), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    # Texts without a repeat need no shuffle: spans, or the ids that have some, are broadcast if few.
+    same = F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))
+    named = spans.withColumnsRenamed({"id": "id2", "th": "th2"})
+    if sum(total) <= MAX_BROADCAST:
+        joined = rows.join(F.broadcast(named), same, "left")
+    elif total[0] <= MAX_BROADCAST:
+        ids = F.broadcast(named.drop("spans"))
+        joined = rows.join(ids, same, "left_semi").join(named, same, "left").unionByName(
+            rows.join(ids, same, "left_anti"), allowMissingColumns=True
+        )
+    else:
+        joined = rows.join(named, same, "left")
+    gone = F.expr("flatten(transform(spans, s -> sequence(s.first, s.last)))")
+    split = joined.withColumn("lines", F.expr("split(text, '\\n', -1)"))
     placed = split.withColumns(
-        {"__at": F.coalesce(_places("__lines"), F.array()), "__gone": F.coalesce(gone, F.array())}
+        {"at": F.coalesce(_places("lines"), F.array()), "gone": F.coalesce(gone, F.array())}
     )
     cut = F.expr(
-        "array_join(transform(array_except(sequence(0, size(__lines) - 1),"
-        " transform(__gone, j -> __at[j])), i -> __lines[i]), '\\n')"
+        "array_join(transform(array_except(sequence(0, size(lines) - 1),"
+        " transform(gone, j -> at[j])), i -> lines[i]), '\\n')"
     )
     text = (
-        F.when(F.size("__gone") == 0, F.col("text"))
-        .when(F.size("__gone") >= F.size("__at"), F.lit(""))
+        F.when(F.size("gone") == 0, F.col("text"))
+        .when(F.size("gone") >= F.size("at"), F.lit(""))
         .otherwise(cut)
     )
-    return placed.select(
-        *[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in own],
-        F.size("__at").alias("n_lines"),
-        F.size("__gone").alias("n_removed"),
-        F.coalesce("__spans", F.array()).alias("removed_spans"),
+    done = placed.select(
+        "row",
+        text.alias("text"),
+        F.size("at").alias("n_lines"),
+        F.size("gone").alias("n_removed"),
+        F.coalesce("spans", F.array()).alias("removed_spans"),
+    )
+    if carry:
+        return done
+    own = [c for c in docs.columns if c.lower() not in new]
+    return done.select(
+        *[F.col("text").alias(c) if c.lower() == "text" else F.col("row")[c].alias(c) for c in own], *new
     )
 
 

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick, words_of
+from .common import Scratch, carried, pick, words_of
 
 # Weights of the expected tokens after mixing, by domain quality_toxic.
 TARGETS = {"q1_t0": 0.82, "q0_t0": 0.09, "q1_t1": 0.08, "q0_t1": 0.01}
@@ -47,19 +47,17 @@ _INSULTS = (
 
 
 def measured(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, one double for each measure) of each row; with ``carry`` also the row as __row."""
-    types = {"doc_id": "long", "text": "string"}
-    if carry:
-        docs = docs.select("*", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-        types["__row"] = docs.schema["__row"].dataType
-    rows = pick(docs, **types).withColumn("words", words_of(F.col("text")))
+    """(doc_id, n_tokens, one double for each measure) of each row; with ``carry`` also the whole row."""
+    read = {"doc_id": "long", "text": "string"}
+    rows = carried(docs, [], **read) if carry else pick(docs, **read)
+    rows = rows.withColumn("words", words_of(F.col("text")))
     n = F.greatest(F.size("words"), F.lit(1))
     text = F.coalesce(F.col("text"), F.lit(""))
     per_word = lambda c: F.log1p(10.0 * c / n)
     upper = F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))
     return rows.select(
         "doc_id",
-        *(["__row"] if carry else []),
+        *(["row"] if carry else []),
         F.size("words").cast("double").alias("n_tokens"),
         F.log1p(F.size("words").cast("double")).alias("length"),
         per_word(F.regexp_count(text, F.lit(r"[#*$%&<>]"))).alias("symbols"),
@@ -169,12 +167,12 @@ def mix(
 
     n_copies draws the rate: its whole part, and one more with the chance of the rest, by a
     hash of the document. ``learn_from`` holds the labelled documents if docs do not. With
-    ``carry`` the row itself comes along as __row.
+    ``carry`` the row itself comes along as a struct ``row``.
     """
     scratch = Scratch(docs.sparkSession)
     rows = measured(docs, carry)
     model = learn(rows if learn_from is None else measured(learn_from), domains(labels))
-    kept = scratch.keep(rows.select("doc_id", *(["__row"] if carry else []), "n_tokens", *posteriors(model)))
+    kept = scratch.keep(rows.select("doc_id", *(["row"] if carry else []), "n_tokens", *posteriors(model)))
     rate, _ = fit_rates(kept, TARGETS if targets is None else targets)
     chance = F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1_000_000)) / 1_000_000.0
     return (

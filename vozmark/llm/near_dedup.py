@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, attach, pick
+from .common import Scratch, attach, pick, small
 
 SHINGLE, PERCENT = 5, 75
 PERMUTATIONS, BANDS = 128, 32
@@ -41,8 +41,6 @@ MISS, BATCH = 1e-5, 32
 BLOCK, BLOCK_SHINGLES = 512, 1 << 21
 #: Groups of more rows are compared batch by batch as matrices.
 SMALL = 64
-#: Ids up to this number (8 bytes each) are broadcast to choose texts; beyond, a join shuffles.
-MAX_BROADCAST = 2_000_000
 #: Rounds in blocks before the complete one; fewer if one finds nothing. They only save work.
 FOREST_ROUNDS = 2
 _MASK = (1 << 64) - 1
@@ -278,10 +276,9 @@ def _linked(limits):
 
 def with_sets(wanted: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(rep, n, sig, items) of wanted (rep, n, doc_id, th, sig): full sets from the texts."""
-    few = wanted.count() <= MAX_BROADCAST
     ids = wanted.select("rep", "doc_id", "th")
     # Rows that share an id and a text are one; any of them will do.
-    texts = docs.join(F.broadcast(ids) if few else ids, ["doc_id", "th"]).select("rep", "text")
+    texts = docs.join(small(ids), ["doc_id", "th"]).select("rep", "text")
 
     def build(batches):
         for batch in batches:
