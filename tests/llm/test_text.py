@@ -2,10 +2,11 @@ import random
 import re
 import zlib
 
+import numpy as np
 import sentencepiece
 from pyspark.sql import functions as F
 
-from vozmark.llm import language_id, mixing, quality_rules, token_count, toxicity
+from vozmark.llm import language_id, line_dedup, mixing, quality_rules, token_count, toxicity
 from vozmark.llm.common import held_out
 
 
@@ -109,12 +110,81 @@ def test_rates_meet_targets_and_stay_nonnegative(spark, data, documents):
 
 
 def test_clashing_columns_are_replaced(spark, documents):
-    names = ["n_words", "kept", "lang_pred", "lang_rejected", "n_tokens", "tox_score", "rate", "p_all", "h", "d"]
+    """Names of results, in any case, are replaced; names used inside stay the caller's."""
+    results = ["N_Words", "Kept", "LANG_pred", "lang_rejected", "N_Tokens", "TOX_SCORE", "Rate", "p_all"]
+    inner = ["row", "lines", "__words", "__lines", "__lang", "lang2", "h", "d", "th", "id", "spans", "a.b"]
     rows = documents
-    for n in names:
-        rows = rows.withColumn(n, F.lit("clash"))
-    assert quality_rules.apply_rules(rows).where("kept").count() == 0
-    assert language_id.detect(rows, {"en": b"the cat"}).where("lang_pred = 'en'").count() == 4
-    assert token_count.count_tokens(rows).where("n_tokens > 1").count() == 6
-    assert toxicity.score(rows, toxicity.Model(vote_weights=[0.0] * len(toxicity.voter_names()))).count() == 8
+    for n in results + inner:
+        rows = rows.withColumn(n, F.lit(f"own {n}"))
+    kept = lambda df: df.select(*[F.col(f"`{n}`") for n in inner]).distinct().collect()
+    own = [tuple(f"own {n}" for n in inner)]
+    got = quality_rules.apply_rules(rows)
+    assert got.where("kept").count() == 0 and kept(got) == own
+    got = language_id.detect(rows, {"en": b"the cat"})
+    assert got.where("lang_pred = 'en'").count() == 4 and kept(got) == own
+    got = token_count.count_tokens(rows)
+    assert got.where("n_tokens > 1").count() == 6 and kept(got) == own
+    got = toxicity.score(rows, toxicity.Model(weights=[0.0] * len(toxicity.voter_names([]))))
+    assert got.where("tox_score = 0.5").count() == 8 and kept(got) == own
+    got = line_dedup.dedup_lines(rows)
+    assert got.where("n_removed = 0").count() == 8 and kept(got) == own
     assert mixing.mix(rows, rows.select("doc_id").limit(0)).count() == 8
+
+
+def test_label_model_recovers_accuracies_and_a_dependent_pair():
+    """Votes drawn with known accuracies; voter 5 repeats voter 4's vote nine times in ten."""
+    rng = np.random.default_rng(0)
+    n, prior = 20_000, 0.2
+    y = rng.random(n) < prior
+    caught, wrong = np.array([0.7, 0.6, 0.5, 0.65, 0.6, 0.0]), np.array([0.02, 0.05, 0.02, 0.1, 0.2, 0.0])
+    votes = (rng.random((n, 6)) < np.where(y[:, None], caught, wrong)).astype(float)
+    alone = rng.random(n) < np.where(y, 0.6, 0.2)
+    votes[:, 5] = np.where(rng.random(n) < 0.9, votes[:, 4], alone)
+    post, accuracy, pairs = toxicity.label_model(votes, prior)
+    true = [y[votes[:, j] > 0].mean() for j in range(6)]
+    assert np.abs(accuracy - true).max() < 0.03
+    # The pair is found as one, and no other; its correlation is the one within the labels.
+    within = np.mean([np.corrcoef(votes[y == k][:, 4], votes[y == k][:, 5])[0, 1] for k in (0, 1)])
+    assert [{a, b} for a, b, _ in pairs] == [{4, 5}] and abs(pairs[0][2] - within) < 0.05
+    # Posteriors are calibrated where the pair votes alone; counted twice they would not be.
+    only = (votes[:, 4] > 0) & (votes[:, 5] > 0) & (votes[:, :4].sum(1) == 0)
+    assert abs(post[only].mean() - y[only].mean()) < 0.02
+    assert abs(post.mean() - prior) < 0.02
+
+
+def test_labels_are_a_voter_that_may_be_wrong():
+    """Voters of two kinds of rows that never meet: only labels tell that both are telling."""
+    rng = np.random.default_rng(1)
+    n = 8000
+    y, kind = rng.random(n) < 0.2, rng.random(n) < 0.5
+    votes = np.stack([(rng.random(n) < np.where(y & (kind == (j < 3)), 0.6, 0.005)) for j in range(6)], 1).astype(float)
+    noisy = np.where(rng.random(n) < 0.05, ~y, y)
+    post, accuracy, _ = toxicity.label_model(votes, 0.2, np.where(noisy, 1.0, -1.0))
+    true = [y[votes[:, j] > 0].mean() for j in range(6)]
+    assert np.abs(accuracy[:6] - true).max() < 0.06 and accuracy[6] > 0.93
+    # Wrong labels are outvoted in part.
+    assert ((post > 0.5) == y).mean() > (noisy == y).mean()
+
+
+def test_terms_are_chosen_for_rows_left():
+    found = [[0, 1]] * 8 + [[2]] * 6 + [[1, 3]] * 9 + [[]] * 5
+    truth = np.array([1] * 14 + [0] * 14)
+    # 1 stands beside 0 and in others; 3 is in no toxic row.
+    assert toxicity.choose(found, truth, [" aa", " bb", " cc", " dd"]) == [0, 2]
+
+
+def test_very_long_texts(spark):
+    """A text of 200,000 words through the operators on single texts."""
+    words = " ".join(f"wort{i % 977}" for i in range(200_000))
+    df = spark.createDataFrame([(1, words), (2, words + " idiot idiot"), (3, "idiot")], "doc_id long, text string")
+    none = df.select("doc_id", F.lit(None).cast("int").alias("toxic"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.op1_toxicity(df, none).collect()}
+    assert got[2] == got[3] > got[1]
+    assert {r["n_words"] for r in quality_rules.apply_rules(df).collect()} == {200_000, 200_002, 1}
+
+
+def test_language_ties_and_long_texts(spark):
+    """Equal dictionaries tie and are rejected; the margin of a long text is its blocks' together."""
+    df = spark.createDataFrame([(1, "le chat noir dort ici")], "doc_id long, text string")
+    got = language_id.detect(df, {"x": b"le chat", "y": b"le chat"}).first()
+    assert got["lang_pred"] == "x" and got["lang_rejected"] and got["lang_margin"] == 0

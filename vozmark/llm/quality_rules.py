@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE, pick
+from .common import carried, pick, quoted, words_of
 
 #: Windows double from one word, so their length is a power of two.
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 8, 20, 30
@@ -86,19 +86,19 @@ def _repeat_words(words: str) -> str:
     return f"CASE WHEN size({words}) < {WINDOW + 1} THEN 0L ELSE {_let(hashes, 'h', covered)} END"
 
 
-def measures(text: str = "text") -> list[Column]:
-    """Every measure a rule can name, of a text column and its split ``__words``, ``__lines``."""
+def measures() -> list[Column]:
+    """Every measure a rule can name, of columns text, words and lines."""
     stop = ", ".join(f"'{w}'" for w in sorted({w for v in STOP_WORDS.values() for w in v.split()}))
     exprs = {
-        "n_words": "size(__words)",
-        "word_chars": "length(array_join(__words, ''))",
-        "n_symbols": f"coalesce(regexp_count({text}, '[#*$%&|<>]'), 0)",
-        "n_dup_lines": "size(__lines) - size(array_distinct(__lines))",
-        "n_repeat_words": _repeat_words("__words"),
-        "n_stop_words": f"size(filter(__words, w -> lower(w) IN ({stop})))",
-        "n_lines": "size(__lines)",
-        "n_bullet_lines": r"size(filter(__lines, l -> l RLIKE '^[ \\t]*[-*\u2022]'))",
-        "n_ellipsis_lines": r"size(filter(__lines, l -> l RLIKE '(\\.\\.\\.|\u2026)[ \\t]*$'))",
+        "n_words": "size(words)",
+        "word_chars": "length(array_join(words, ''))",
+        "n_symbols": "regexp_count(text, '[#*$%&|<>]')",
+        "n_dup_lines": "size(lines) - size(array_distinct(lines))",
+        "n_repeat_words": _repeat_words("words"),
+        "n_stop_words": f"size(filter(words, w -> lower(w) IN ({stop})))",
+        "n_lines": "size(lines)",
+        "n_bullet_lines": r"size(filter(lines, l -> l RLIKE '^[ \\t]*[-*\u2022]'))",
+        "n_ellipsis_lines": r"size(filter(lines, l -> l RLIKE '(\\.\\.\\.|\u2026)[ \\t]*$'))",
     }
     return [F.expr(e).cast("long").alias(k) for k, e in exprs.items()]
 
@@ -128,22 +128,18 @@ def apply_rules(docs: DataFrame, text: str = "text", rules=None) -> DataFrame:
 
     Columns of these names that are there already are replaced.
     """
-    new = {"base_failed", "failed_rules", "kept", *MEASURES}
-    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
-    split = docs.select(
-        *own,
-        F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SPACE_RE, -1), "").alias(
-            "__words"
-        ),
-        F.expr(
-            rf"filter(split(coalesce({text}, ''), '\n', -1), l -> l RLIKE '[^\\x20\\x09-\\x0D]')"
-        ).alias("__lines"),
+    new = ["base_failed", "failed_rules", "kept", *MEASURES]
+    split = carried(docs, new, **{text: "string"}).select(
+        "row",
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        words_of(F.col(text)).alias("words"),
+        F.expr(rf"filter(split(coalesce({text}, ''), '\n', -1), l -> l RLIKE '[^\\x20\\x09-\\x0D]')").alias("lines"),
     )
-    measured = split.select(*own, *measures(text))
-    return (
-        measured.withColumn("base_failed", base_failed())
-        .withColumn("failed_rules", verdict(rules))
-        .withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    measured = split.select("row", *measures())
+    judged = measured.withColumn("base_failed", base_failed()).withColumn("failed_rules", verdict(rules))
+    own = [c for c in docs.columns if c.lower() not in new]
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).select(
+        *[F.col(f"row.{quoted(c)}") for c in own], *MEASURES, "base_failed", "failed_rules", "kept"
     )
 
 

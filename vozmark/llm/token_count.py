@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import carried, pick, quoted
 
 LIMIT = 4096
 SPACE = "▁"
@@ -154,7 +154,8 @@ def worker_counter(model: bytes) -> PieceCounter:
 
 
 def count_tokens(docs: DataFrame, model_path: str | None = None, limit: int = LIMIT) -> DataFrame:
-    """``docs`` with n_bytes, n_tokens and over_limit of the whole text.
+    """``docs`` with n_bytes, n_tokens and over_limit of the whole text; columns of these names
+    that are there already are replaced.
 
     The model's file is read on the driver and travels with the function.
     """
@@ -167,11 +168,15 @@ def count_tokens(docs: DataFrame, model_path: str | None = None, limit: int = LI
         for texts in batches:
             yield pd.Series([counter.count(t) for t in texts], dtype="int64")
 
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
-    return docs.select(
-        *own, F.octet_length(text).cast("long").alias("n_bytes"), tokens(text).alias("n_tokens")
-    ).withColumn("over_limit", F.col("n_tokens") > limit)
+    new = ["n_bytes", "n_tokens", "over_limit"]
+    rows = carried(docs, new, text="string").select("row", F.coalesce("text", F.lit("")).alias("text"))
+    counted = rows.select(
+        "row", F.octet_length("text").cast("long").alias("n_bytes"), tokens("text").alias("n_tokens")
+    )
+    own = [c for c in docs.columns if c.lower() not in new]
+    return counted.select(
+        *[F.col(f"row.{quoted(c)}") for c in own], "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
+    )
 
 
 def op2_token_count(docs: DataFrame) -> DataFrame:
