@@ -1,6 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
-from vozmark.llm import chat_format, decontamination, url_filter
+from vozmark.llm import chat_format, common, decontamination, url_filter
 
 ITEM = "If Anna walks 12 km in 3 hours and then rests for 45 minutes how far does she get per hour"
 BENCH = [(1, ITEM), (2, "short item here"), (3, None), (4, ""), (1, ITEM)]
@@ -85,6 +87,111 @@ def test_leaks_next_to_words_of_the_text(spark):
     }
 
 
+def brute_leaks(texts, items):
+    """{(doc_id, item_id): n_words} by the rules alone: every shift, every run, both forms, every window."""
+    import re
+
+    units = set(decontamination.UNITS.split())
+
+    def bare(w):
+        return re.sub(r"^[\W_]+|[^\w%]+$", "", w)
+
+    def forms(w):
+        b = bare(w)
+        if re.fullmatch(r"[a-z]+", b):
+            t = "<unit>" if b in units else b
+        elif re.fullmatch(r"[0-9][0-9.,:/%]*", b):
+            t = "<number>"
+        elif re.fullmatch(r"[0-9][0-9.,:/]*[^\W\d_]+", b):
+            t = "<quantity>"
+        elif re.fullmatch(r"[A-Z][A-Za-z'-]*", b):
+            t = "<name>"
+        else:
+            t = b.lower()
+        c = ("<unit>" if b.lower() in units else b.lower()) if t == "<name>" else "<unit>" if t in units else t
+        return t, c, b.lower()
+
+    def met(a, b):
+        """Windows of eight (or all) that are equal: by form if rich, else by bare words."""
+        n = len(b)
+        for k in (0, 1):
+            rich = sum(not x[k].startswith("<") for x in b) >= min(3, n)
+            if [x[k] for x in a] == [x[k] for x in b] if rich else [x[2] for x in a] == [x[2] for x in b]:
+                return True
+        return False
+
+    def consistent(slots):
+        clash = lambda x, y: x[0] == y[0] and (x[1] == y[1]) != (x[2] == y[2])
+        return not any(clash(x, y) for i, x in enumerate(slots) for y in slots[:i])
+
+    out = {}
+    for d, text in texts.items():
+        doc = [forms(w) for w in text.split()]
+        for i, item in items.items():
+            it = [forms(w) for w in item.split()]
+            n, w = len(it), min(8, len(it))
+            for shift in range(1 - n, len(doc)):
+                eq = [0 <= j + shift < len(doc) and (it[j][0] == doc[j + shift][0] or it[j][1] == doc[j + shift][1]) for j in range(n)]
+                j = 0
+                while j < n:
+                    if not eq[j]:
+                        j += 1
+                        continue
+                    z = j
+                    while z < n and eq[z]:
+                        z += 1
+                    run = [(it[k], doc[k + shift]) for k in range(j, z)]
+                    if z - j >= min(13, n) and any(met([x[1] for x in run[k : k + w]], [x[0] for x in run[k : k + w]]) for k in range(z - j - w + 1)):
+                        kinds = [(b[0] if b[0] == a[0] else b[1], b[2], a[2]) for b, a in run]
+                        slots = [x for x in kinds if x[0].startswith("<")]
+                        if consistent(slots) and sum(x[1] == x[2] for x in kinds) >= min(5, n):
+                            out[d, i] = max(out.get((d, i), 0), z - j)
+                    j = z
+    return out
+
+
+def test_leaks_equal_brute_force(spark):
+    """Small vocabularies, so that windows meet by chance; changed values, changed case, numbers."""
+    rng = random.Random(9)
+    plain = ["red", "blue", "goes", "stands", "under", "between", "mill", "river", "then", "costs"]
+    slot = lambda: rng.choice(["12", "30", "45", "7", "km", "hours", "Anna", "Boris", "5kg", "9kg"])
+    word = lambda p: slot() if rng.random() < p else rng.choice(plain)
+    items = {i: " ".join(word(rng.choice([0.1, 0.3, 0.6])) for _ in range(rng.choice([4, 9, 16, 30]))) for i in range(25)}
+    items[90] = " ".join(str(rng.randrange(100)) for _ in range(20))
+    texts = {}
+    for d in range(60):
+        words = [word(0.2) for _ in range(rng.randrange(20))]
+        copy = items[rng.choice(list(items))].split()
+        if rng.random() < 0.5:
+            swap = {"12": "30", "30": "12", "Anna": "Boris", "km": "hours"}
+            copy = [swap.get(w, w) for w in copy] if rng.random() < 0.5 else copy[rng.randrange(3) :]
+        texts[d] = " ".join(words + copy + [word(0.2) for _ in range(rng.randrange(9))])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = decontamination.find_leaks(docs, spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): r["n_words"] for r in got.collect()}
+    want = brute_leaks(texts, items)
+    assert want and {k: got.get(k) for k in want} == want
+    # What else is found are consistent parts of inconsistent runs.
+    assert all(k[0] in texts and n >= 4 for k, n in got.items())
+
+
+def test_numbers_alone_do_not_meet_other_numbers(spark):
+    """20 items of 40 numbers, a text of 20,000 numbers and a copy among them."""
+    rng = random.Random(1)
+    numbers = lambda n: " ".join(str(rng.randrange(1000)) for _ in range(n))
+    items = [(i, numbers(40)) for i in range(20)]
+    docs = [(1, numbers(20_000)), (2, f"{numbers(5000)} {items[3][1]} {numbers(5000)}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = decontamination.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["n_words"], r["reworded"]) for r in got] == [(2, 3, 40, False)]
+
+
+def test_many_items_are_joined_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "MAX_ITEM_WORDS", 0)
+    monkeypatch.setattr(common, "MAX_BROADCAST", 0)
+    test_leaks_copies_rewordings_and_clean_texts(spark)
+
+
 def test_leaks_edge_cases(spark, documents):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     assert decontamination.find_leaks(documents, bench).count() == 0

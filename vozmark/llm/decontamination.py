@@ -3,9 +3,14 @@
 Words become template words: numbers, names and units turn into typed placeholders, so
 that a question with other numbers, names or units has the same template. They also
 become caseless words, the same but for names, which are lower-cased instead, so that a
-copy in other case has the same caseless words. Windows of eight words in either form of
-a benchmark item, one every few words, are hash-joined with all windows of all texts. For
-each match the longest common run around it, of words equal in either form, is worked
+copy in other case has the same caseless words. Windows of eight words of a benchmark item in
+either form, one every few words, are hash-joined with windows of the texts. A window with
+fewer than MIN_RICH words that are no placeholders says nothing about a text that has other
+values, so it is joined by its bare words instead, and items that have one are indexed at
+every word. Of the texts only those windows are formed that may meet one: where a text has
+the longest word of an item's window (its anchor), at the anchor's place in the window.
+
+For each match the longest common run around it, of words equal in either form, is worked
 out; it counts if it has MIN_WORDS words, or the whole of a shorter item, and if its slots
 are consistent: on each side, equal values stand where the other side has equal values.
 Equal texts are consistent with themselves. Of an inconsistent run the longest consistent
@@ -21,8 +26,8 @@ first word of a sentence is a name on both sides, which its slot check undoes).
 Cases: null or empty texts match nothing, nor do items without words. An item shorter
 than a window is one window of its own length. Repeated documents are found one by one,
 and repeated items (same id and text) once; rows with one id and other text stay apart. A
-run must have MIN_LITERAL words that are no placeholders. Columns other than those named
-are ignored. Everything is DataFrame operations.
+run must have MIN_LITERAL words (a shorter item: all) that are equal on both sides, values of
+slots included. Columns other than those named are ignored. Everything is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, carried, pick, small, words_of
+from .common import Scratch, attach, carried, pick, small, words_of
 
 WINDOW = 8
 #: A common run counts from this many words on, or with the whole of a shorter item.
@@ -38,8 +43,11 @@ MIN_WORDS = 13
 MIN_LITERAL = 5
 #: Any run of MIN_WORDS words holds a window that starts at a multiple of STRIDE.
 STRIDE = MIN_WORDS - WINDOW + 1
-#: Windows of all items up to this number are broadcast; beyond, the join shuffles.
-MAX_BROADCAST = 2_000_000
+#: A window joins by its form if so many of its words are no placeholders, else by its bare words.
+#: Of any MIN_WORDS words with MIN_LITERAL such words, some eight in a row have as many.
+MIN_RICH = 3
+#: Words of all items up to this number are broadcast; beyond, the join shuffles.
+MAX_ITEM_WORDS = 1_000_000
 
 # Units of measure and currency.
 UNITS = (
@@ -91,17 +99,6 @@ def caseless_words(words: str, tpl: str) -> Column:
     )
 
 
-def _window_hashes(words: str) -> str:
-    """Hashes of all windows of WINDOW words, doubled from one word."""
-    hashes = f"transform({words}, w -> xxhash64(w))"
-    for step in (1, 2, 4):
-        hashes = (
-            f"element_at(transform(array({hashes}), q ->"
-            f" zip_with(q, slice(q, {step + 1}, size(q)), (a, b) -> xxhash64(a, b))), 1)"
-        )
-    return f"slice({hashes}, 1, size({words}) - {WINDOW - 1})"
-
-
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
     """Items with words: (item, item_id, b_words, b_tpl, b_cl)."""
     return (
@@ -115,17 +112,46 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
         .where(F.size("b_words") > 0)
         .withColumn("b_tpl", template_words("b_words"))
         .withColumn("b_cl", caseless_words("b_words", "b_tpl"))
+        .withColumn("b_bare", F.expr(f"transform(b_words, w -> {_bare('w')})"))
     )
 
 
-def _short_windows(items: DataFrame) -> tuple[list[int], DataFrame]:
-    """Lengths and (hash, item, at) of items shorter than a window."""
-    short = items.where(F.size("b_tpl") < WINDOW).select(
-        F.size("b_tpl").alias("n"), F.explode(F.array("b_tpl", "b_cl")).alias("form"), "item"
+def _rich(form: str) -> str:
+    """SQL: the window says enough without its values. Short windows need their whole share."""
+    return f"size(filter({form}, x -> x NOT LIKE '<%>')) >= least({MIN_RICH}, size({form}))"
+
+
+def _key(kind: str, form: str) -> str:
+    return f"xxhash64('{kind}', array_join({form}, ' '))"
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """(hash, item, at, n_item, anchor, place, n, kind) of the items' windows.
+
+    Kinds: t template, c caseless, b bare words. ``place`` is the anchor's in the window.
+    """
+    n = f"least({WINDOW}, size(b_words))"
+    form = lambda f: f"slice({f}, at + 1, n)"
+    at_all = items.withColumn("n", F.expr(n)).withColumn("at", F.explode(F.expr("sequence(0, size(b_words) - n)")))
+    poor = f"NOT ({_rich(form('b_tpl'))}) OR NOT ({_rich(form('b_cl'))})"
+    strided = f"at % {STRIDE} = 0 OR at = size(b_words) - n"
+    # An item all of whose strided windows are rich needs no others.
+    marked = at_all.withColumn("poor", F.expr(f"({strided}) AND ({poor})"))
+    dense = marked.where("poor").select("item").distinct().withColumn("dense", F.lit(True))
+    marked = marked.join(dense, "item", "left").where(F.expr(f"dense OR {strided}"))
+    anchor = lambda ok: (
+        "array_max(filter(transform(sequence(0, n - 1), i ->"
+        f" struct(length(b_bare[at + i]) AS l, b_bare[at + i] AS anchor, i AS place, {ok} AS ok)), s -> s.ok))"
     )
-    short = short.select("n", F.expr("xxhash64('short', array_join(form, ' '))").alias("hash"), "item").distinct()
-    sizes = sorted(r["n"] for r in short.select("n").distinct().collect())  # below WINDOW
-    return sizes, short.select("hash", "item", F.lit(0).alias("at"))
+    kinds = []
+    for kind, f in (("t", "b_tpl"), ("c", "b_cl")):
+        rich = _rich(form(f))
+        kinds.append(f"IF({rich}, struct('{kind}' AS kind, {_key('f', form(f))} AS hash, {anchor(f'{f}[at + i] NOT LIKE {chr(39)}<%>{chr(39)}')} AS a), NULL)")
+        kinds.append(f"IF({rich}, NULL, struct('b' AS kind, {_key('b', form('b_bare'))} AS hash, {anchor('true')} AS a))")
+    found = marked.withColumn("w", F.explode(F.expr(f"array_compact(array({', '.join(kinds)}))")))
+    return found.select(
+        "w.hash", "item", "at", F.size("b_words").alias("n_item"), "w.a.anchor", "w.a.place", "n", "w.kind"
+    ).distinct()
 
 
 def _consistent_parts(sl: str, n: str) -> str:
@@ -163,72 +189,68 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession)
     items = scratch.keep(benchmark_items(benchmark))
-    forms = items.where(F.size("b_tpl") >= WINDOW).select("item", F.explode(F.array("b_tpl", "b_cl")).alias("form"))
-    windows = forms.select(
-        "item", F.size("form").alias("n"), F.posexplode(F.expr(_window_hashes("form"))).alias("at", "hash")
-    )
-    windows = windows.where((F.col("at") % STRIDE == 0) | (F.col("at") == F.col("n") - WINDOW))
-    windows = windows.select("hash", "item", "at").distinct()
-    sizes, short = _short_windows(items)
-    windows = scratch.keep(windows.unionByName(short))
-    few = windows.count() <= MAX_BROADCAST
-    hint = F.broadcast if few else (lambda df: df)
+    windows = scratch.keep(item_windows(items))
+    anchors = small(windows.select("anchor", "place", "n", "kind").distinct())
 
     rows = pick(docs, doc_id="long", text="string").where(F.col("text").isNotNull())
     worded = rows.select("doc_id", F.xxhash64("text").alias("th"), words_of(F.col("text")).alias("words"))
-    tpl = worded.withColumn("t", template_words("words")).withColumn("c", caseless_words("words", "t"))
-    tpl = tpl.drop("words")
-    # Both forms' windows stand in one array, one form after the other.
-    both = f"concat({_window_hashes('t')}, {_window_hashes('c')})"
-    hashes = F.expr(f"CASE WHEN size(t) >= {WINDOW} THEN {both} END")
-    place = lambda n: (F.col("pos") % (F.col("n") - (n - 1))).alias("pos")
-    found = tpl.select("doc_id", "th", F.size("t").alias("n"), F.posexplode(hashes).alias("pos", "hash"))
-    found = found.select("doc_id", "th", place(WINDOW), "hash")
-    for n in sizes:
-        own = ", ".join(
-            f"transform(sequence(1, size(t) - {n - 1}), i -> xxhash64('short', array_join(slice({f}, i, {n}), ' ')))"
-            for f in ("t", "c")
-        )
-        own = F.expr(f"CASE WHEN size(t) >= {n} THEN concat({own}) END")
-        short = tpl.select("doc_id", "th", F.size("t").alias("n"), F.posexplode(own).alias("pos", "hash"))
-        found = found.unionByName(short.select("doc_id", "th", place(n), "hash"))
+    # Every word of a text is looked up among the anchors, of which each has WINDOW places at most.
+    plain = r"CASE WHEN w RLIKE '^\\p{Ll}+$' THEN replace(w, 'ß', 'ss') ELSE " + _bare("w") + " END"
+    spots = worded.select("doc_id", "th", "words", F.posexplode("words").alias("pos", "w"))
+    spots = spots.select("doc_id", "th", "words", "pos", F.expr(plain).alias("anchor")).join(anchors, "anchor")
+    spots = spots.withColumn("at_doc", F.col("pos") - F.col("place"))
+    spots = spots.where((F.col("at_doc") >= 0) & (F.col("at_doc") + F.col("n") <= F.size("words")))
+    cut = spots.select("doc_id", "th", "at_doc", "kind", F.expr("slice(words, at_doc + 1, n)").alias("words"))
+    cut = cut.withColumn("t", F.when(F.col("kind") != "b", template_words("words")))
+    form = F.expr(
+        f"CASE kind WHEN 't' THEN {_key('f', 't')} WHEN 'c' THEN {_key('f', 'c')}"
+        f" ELSE {_key('b', 'transform(words, w -> ' + _bare('w') + ')')} END"
+    )
+    cut = cut.withColumn("c", F.when(F.col("kind") == "c", caseless_words("words", "t")))
+    found = cut.select("doc_id", "th", "at_doc", form.alias("hash"))
     # One row for each document, item and shift, however many windows met.
     met = (
-        found.join(hint(windows), "hash")
-        .select("doc_id", "th", "item", (F.col("pos") - F.col("at")).alias("shift"), "at")
-        .groupBy("doc_id", "th", "item", "shift")
+        found.join(small(windows.select("hash", "item", "at", "n_item").distinct()), "hash")
+        .select("doc_id", "th", "item", "n_item", (F.col("at_doc") - F.col("at")).alias("shift"), "at")
+        .groupBy("doc_id", "th", "item", "n_item", "shift")
         .agg(F.sort_array(F.collect_set("at")).alias("ats"))
     )
     met = scratch.keep(met)
-    wanted = met.groupBy("doc_id", "th").agg(
-        F.collect_list(F.struct("item", "shift", "ats")).alias("met")
-    )
-    # Only texts in which a window met come along; each carries its bounded list of items.
-    texts = worded.withColumnRenamed("doc_id", "id").withColumnRenamed("th", "h")
-    there = texts.join(
-        wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))
-    ).withColumn("t", template_words("words")).withColumn("c", caseless_words("words", "t"))
-    there = there.select("doc_id", "th", "words", "t", "c", F.explode("met").alias("m"))
-    pairs = there.select(
-        "doc_id", "th", "words", "t", "c", F.col("m.item").alias("item"), F.col("m.shift").alias("shift"),
-        F.explode("m.ats").alias("at"),
-    ).join(hint(items), "item")
+    # Only texts in which a window met come along, and of these the words beside the item's.
+    texts = worded.withColumnsRenamed({"doc_id": "id", "th": "h"})
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))
+    texts = texts.join(small(met.select("doc_id", "th").distinct()), same, "left_semi")
+    there = texts.join(met, same).select(
+        "doc_id", "th", "item", "shift", "ats", F.least("shift", F.lit(0)).alias("off"),
+        F.expr("slice(words, greatest(shift, 0) + 1, greatest(n_item + least(shift, 0), 0))").alias("words"),
+    ).distinct()
+    there = there.withColumn("t", template_words("words")).withColumn("c", caseless_words("words", "t"))
+    n_words = items.agg(F.coalesce(F.sum(F.size("b_words")), F.lit(0))).first()[0]
+    if n_words <= MAX_ITEM_WORDS:
+        pairs = there.join(F.broadcast(items), "item")
+    else:
+        times = met.groupBy("item").agg(F.count("*").alias("times"))
+        pairs = attach(there, items.join(times, "item"), ["item"], "times")
     # Places of the item at which the words are equal in either form, shift applied.
-    equal = F.expr(
-        "transform(sequence(0, size(b_tpl) - 1), j -> coalesce(get(t, j + shift) = b_tpl[j]"
-        " OR get(c, j + shift) = b_cl[j], false))"
-    )
+    pairs = pairs.withColumn(
+        "eq",
+        F.expr(
+            "transform(sequence(0, size(b_tpl) - 1), j -> coalesce(get(t, j + off) = b_tpl[j]"
+            " OR get(c, j + off) = b_cl[j], false))"
+        ),
+    ).withColumn("at", F.explode("ats"))
     stop = F.expr(
         "coalesce(get(filter(transform(eq, (e, j) -> IF(e, NULL, j)), j -> j > at), 0), size(eq))"
     )
     start = F.expr(
         "coalesce(array_max(filter(transform(eq, (e, j) -> IF(e, NULL, j)), j -> j < at)), -1) + 1"
     )
-    runs = pairs.withColumn("eq", equal).withColumns({"a": start, "z": stop})
+    # Windows of one run give one run.
+    runs = pairs.withColumns({"a": start, "z": stop}).drop("at", "ats").where("z > a")
     # The first word of a sentence is no name where both sides have the same word.
     slots = F.expr(
-        "transform(sequence(a, z - 1), j -> struct(IF(t[j + shift] = b_tpl[j], b_tpl[j], b_cl[j]) AS kind,"
-        f" {_bare('b_words[j]')} AS b, {_bare('words[j + shift]')} AS d))"
+        "transform(sequence(a, z - 1), j -> struct(IF(t[j + off] = b_tpl[j], b_tpl[j], b_cl[j]) AS kind,"
+        f" b_bare[j] AS b, {_bare('words[j + off]')} AS d))"
     )
     enough = F.col("z") - F.col("a") >= F.least(F.lit(MIN_WORDS), F.size("b_tpl"))
     runs = runs.where(enough).withColumn("all", slots)
