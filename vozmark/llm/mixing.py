@@ -32,10 +32,13 @@ from .common import Scratch, carried, pick, words_of
 
 # Weights of the expected tokens after mixing, by domain quality_toxic.
 TARGETS = {"q1_t0": 0.82, "q0_t0": 0.09, "q1_t1": 0.08, "q0_t1": 0.01}
-MAX_STEPS, TOLERANCE = 40, 2e-3
+TOLERANCE = 2e-3
+#: Steps end if the worst error hasn't fallen by the share STALL for PATIENCE steps. Rates are
+#: written every FOLD steps. MAX_STEPS is an error.
+STALL, PATIENCE, FOLD, MAX_STEPS = 1e-3, 12, 20, 2000
 #: Weight of the squared distance of rates from one, which keeps rates apart from extremes
 #: where targets cannot be met.
-RIDGE = 1e-3
+RIDGE = 1e-4
 #: Gaussian posteriors are flattened by this power, as the measures depend on each other.
 SHARPNESS = 0.5
 MEASURES = ["length", "symbols", "shouts", "tables", "capitals", "repeats", "insults"]
@@ -113,12 +116,15 @@ def posteriors(model: dict[str, dict]) -> list[Column]:
 
 
 def fit_rates(
-    rows: DataFrame, targets: dict[str, float], max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE
+    rows: DataFrame, targets: dict[str, float], scratch: Scratch, tolerance: float = TOLERANCE
 ) -> tuple[Column, list[float]]:
     """The rate as a column over p_<domain>, and the relative errors left.
 
-    rows: n_tokens and p_<domain> for every domain in targets. A step is K numbers, so a
-    rate is a fold of the steps over a document's posteriors and needs no state of its own.
+    rows: n_tokens and p_<domain> for every domain. A step is K numbers, so a rate is a fold of
+    the steps over a document's posteriors and needs no join; while steps go on, rates so far are
+    written every FOLD steps. Steps
+    end when all errors are below the tolerance, or when the worst one improves no more: then no
+    nonnegative rates near one meet the targets.
     """
     names = [c for c in rows.columns if c.startswith("p_")]
     k = len(names)
@@ -134,26 +140,48 @@ def fit_rates(
     goal = [total * (w / share if share else 1 / k) for w in wanted]
     if total <= 0:
         return F.lit(1.0), [0.0] * k
-    # With the errors weighed by the inverse Gram matrix the largest curvature is one.
-    weigh = np.linalg.pinv(np.array(g) + 1e-9 * total * np.eye(k))
-    steps: list[list[float]] = []
-
-    def rate() -> Column:
+    # With the errors weighed by the inverse Gram matrix the largest curvature is one. Documents
+    # at rate 0 don't move, so the matrix over the others is tried first, and that over all
+    # after a step that made the worst error larger.
+    safe = lambda g: np.linalg.pinv(np.array(g).reshape(k, k) + 1e-9 * total * np.eye(k))
+    weigh = every = safe(g)
+    rows = rows.withColumn("r", F.lit(1.0))
+
+    def rate(steps: list[list[float]], start: Column) -> Column:
         if not steps:
-            return F.lit(1.0)
+            return start
         folded = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
         move = lambda s: sum((s[i] * F.col(c) for i, c in enumerate(names)), F.lit(0.0))
-        return F.aggregate(folded, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - move(s) - RIDGE * (r - 1)))
+        return F.aggregate(folded, start, lambda r, s: F.greatest(F.lit(0.0), r - move(s) - RIDGE * (r - 1)))
 
-    errors = []
-    for _ in range(max_steps):
+    steps: list[list[float]] = []
+    written: DataFrame | None = None
+    done, r = 0, F.col("r")  # steps that the written rates hold
+    best, since, last = math.inf, 0, math.inf
+    for _ in range(MAX_STEPS):
         errors = [(a - b) / b if b > 0 else a / total for a, b in zip(now, goal, strict=True)]
-        if max(abs(e) for e in errors) < tolerance:
+        worst = max(abs(e) for e in errors)
+        if worst < tolerance:
+            break
+        best, since = (worst, 0) if worst < best * (1 - STALL) else (best, since + 1)
+        if since >= PATIENCE:
             break
+        weigh, last = (weigh if worst < last else every), worst
         steps.append((weigh @ (np.array(now) - np.array(goal))).tolist())
-        drawn = rate() * n
-        now = list(rows.agg(*[F.coalesce(F.sum(drawn * F.col(c)), F.lit(0.0)) for c in names]).first())
-    return rate(), errors
+        if len(steps) - done == FOLD:
+            rows = scratch.keep(rows.select("n_tokens", *names, rate(steps[done:], r).alias("r")))
+            done = len(steps)
+            if written is not None:
+                scratch.drop(written)
+            written = rows
+        drawn = rows.select(*names, "n_tokens", rate(steps[done:], r).alias("now"))
+        sums = [F.coalesce(F.sum(F.col("now") * n * F.col(c)), F.lit(0.0)) for c in names]
+        moving = [F.coalesce(F.sum(F.when(F.col("now") > 0, n * F.col(a) * F.col(b))), F.lit(0.0)) for a in names for b in names]
+        got = list(drawn.agg(*sums, *moving).first())
+        now, weigh = got[:k], safe(got[k:])
+    else:
+        raise RuntimeError(f"rates still improve after {MAX_STEPS} steps; errors are {errors}")
+    return rate(steps, F.lit(1.0)), errors
 
 
 def mix(
@@ -163,25 +191,33 @@ def mix(
     learn_from: DataFrame | None = None,
     carry: bool = False,
 ) -> DataFrame:
-    """(doc_id, n_tokens, p_<domain>..., rate, n_copies) of every row.
+    """(doc_id, n_tokens, p_<domain>..., rate, n_copies, target_error) of every row.
 
     n_copies draws the rate: its whole part, and one more with the chance of the rest, by a
-    hash of the document. ``learn_from`` holds the labelled documents if docs do not. With
+    hash of the document. target_error is the worst relative error that the rates leave, the
+    same in every row: above TOLERANCE if no nonnegative rates meet the targets. ``learn_from`` holds the labelled documents if docs do not. With
     ``carry`` the row itself comes along as a struct ``row``.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = measured(docs, carry)
-    model = learn(rows if learn_from is None else measured(learn_from), domains(labels))
-    kept = scratch.keep(rows.select("doc_id", *(["row"] if carry else []), "n_tokens", *posteriors(model)))
-    rate, _ = fit_rates(kept, TARGETS if targets is None else targets)
+    # Texts are measured once.
+    seen = scratch.keep(measured(docs, carry))
+    known = domains(labels)
+    model = learn((seen if learn_from is None else measured(learn_from)).select("doc_id", *MEASURES), known)
+    numbers = scratch.keep(seen.select("n_tokens", *posteriors(model)))
+    names = [c for c in numbers.columns if c.startswith("p_")]
+    rate, errors = fit_rates(numbers, TARGETS if targets is None else targets, scratch)
+    scratch.drop(numbers)
     chance = F.pmod(F.xxhash64(F.lit("copies"), "doc_id"), F.lit(1_000_000)) / 1_000_000.0
-    return (
-        kept.withColumn("n_tokens", F.col("n_tokens").cast("long"))
-        .withColumn("rate", rate)
-        .withColumn(
-            "n_copies",
-            (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long"),
-        )
+    rated = seen.select("doc_id", *(["row"] if carry else []), "n_tokens", *posteriors(model)).withColumn("rate", rate)
+    copies = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")
+    return rated.select(
+        "doc_id",
+        *(["row"] if carry else []),
+        F.col("n_tokens").cast("long").alias("n_tokens"),
+        *names,
+        "rate",
+        copies.cast("long").alias("n_copies"),
+        F.lit(float(max((abs(e) for e in errors), default=0.0))).alias("target_error"),
     )
 
 
