@@ -251,13 +251,76 @@ def test_trust_and_distrust_equal_power_iteration(spark):
         assert abs(r["trust"] - trust[r["host"]]) < 1e-3 and abs(r["distrust"] - distrust[r["host"]]) < 1e-3
 
 
-def test_distrust_reaches_far_hosts(spark):
-    links = [(f"h{i}", f"h{i + 1}", 1) for i in range(35)]
+def test_chain_of_sixty_links_equals_power_iteration(spark):
+    hosts = [f"h{i:02d}" for i in range(61)]
+    links = [(a, b, 1) for a, b in zip(hosts, hosts[1:], strict=False)]
+    seeds = [("h00", 1.0, 0.0), ("h60", 0.0, 1.0)]
     got = url_filter.propagate(
-        spark.createDataFrame([("h35", 0.0, 1.0)], "host string, trust double, distrust double"),
+        spark.createDataFrame(seeds, "host string, trust double, distrust double"),
         spark.createDataFrame(links, "src string, dst string, n long"),
     ).collect()
-    assert len(got) == 36 and all(r["distrust"] > 0 for r in got)
+    trust = [1.0] + [0.0] * 60
+    for _ in range(400):
+        trust = [0.15 + 0.85 * trust[-1], *[0.85 * x for x in trust[:-1]]]
+    for r in got:
+        i = int(r["host"][1:])
+        assert abs(r["trust"] - trust[i]) < 2e-6 and abs(r["distrust"] - trust[60 - i]) < 2e-6
+        assert r["trust"] > 0 and r["distrust"] > 0
+
+
+def test_verdicts_of_linked_hosts_by_loop(spark, monkeypatch):
+    """Pages of random hosts with links, a hub among them: verdicts against scores worked out here."""
+    monkeypatch.setattr(url_filter, "HOT_ROWS", 10)
+    rng = random.Random(8)
+    hosts = [f"a{i}.com" for i in range(15)] + [f"b{i}.net" for i in range(15)] + [f"c{i}.org" for i in range(15)]
+    pages = []
+    for i in range(300):
+        host = rng.choice(hosts)
+        path = rng.choice(["/en/", "/de/", "/es/", "/fr/"])
+        targets = rng.sample(hosts, 40 if host == "a0.com" else 2)
+        html = "".join(f'<a href="http://{t}/x">t</a>' for t in targets)
+        pages.append((i, f"http://{host}{path}{i}", html))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in url_filter.filter_urls(df).collect()}
+    by = {}
+    for i, url, _ in pages:
+        host, path = url[7:].split("/", 1)
+        rule = {("com", "en"): "block", ("net", "de"): "allow", ("org", "es"): "block"}.get((host[-3:], path[:2]))
+        by.setdefault(host, []).append((i, rule))
+    edges = {}
+    for _, url, html in pages:
+        src = url[7:].split("/")[0]
+        for t in {x.split("/")[0] for x in html.split("http://")[1:]} - {src}:
+            edges[src, t] = edges.get((src, t), 0) + 1
+    n, seeds = {h: len(v) for h, v in by.items()}, ({}, {})
+    for h, v in by.items():
+        a, b = (sum(r == k for _, r in v) for k in ("allow", "block"))
+        if b >= 0.5 * n[h]:
+            seeds[1][h] = b
+        elif a >= 0.1 * n[h]:
+            seeds[0][h] = a
+    ranks = []
+    for seed, links in zip(seeds, (edges, {(d, s): k for (s, d), k in edges.items()}), strict=True):
+        out, total = {}, sum(seed.values())
+        for (s, _), k in links.items():
+            out[s] = out.get(s, 0) + k
+        r = {h: seed.get(h, 0) / total for h in hosts}
+        for _ in range(300):
+            lost = sum(x for h, x in r.items() if h not in out)
+            new = {h: (0.15 + 0.85 * lost) * seed.get(h, 0) / total for h in hosts}
+            for (s, d), k in links.items():
+                new[d] += 0.85 * r[s] * k / out[s]
+            r = new
+        ranks.append(r)
+    verdicts = set()
+    for h, v in by.items():
+        for i, rule in v:
+            assert abs(got[i]["trust"] - ranks[0][h]) < 1e-5 and abs(got[i]["distrust"] - ranks[1][h]) < 1e-5
+            want = rule or ("block" if ranks[1][h] > ranks[0][h] else "allow")
+            if rule or abs(ranks[1][h] - ranks[0][h]) > 1e-5:
+                assert got[i]["verdict"] == want
+                verdicts.add((rule is None, want))
+    assert len(verdicts) == 4
 
 
 def test_links_of_pages(spark):
@@ -288,3 +351,52 @@ def test_calls_and_results(spark):
     assert got[None, 0, 1]["status"] == "no_call" and got[2, 0, 0]["json"] == '{"content":"","role":""}'
     assert got[1, 1, 1]["json"] == '{"arguments":{"url":"$ref:a"},"id":"b","name":"fetch"}'
     assert chat_format.format_chats(df.limit(0)).count() == 0
+
+
+def test_levels_of_chains_trees_and_cycles_by_loop(spark):
+    """Random references in conversations: levels, cycles and lost references against a loop; ties,
+    repeated rows and one hot id."""
+    rng = random.Random(6)
+    rows, refs = [], {}
+    for conv in range(12):
+        ids = [f"k{i}" for i in range(rng.randrange(1, 14))]
+        for turn, i in enumerate(ids):
+            earlier = [f"k{j}" for j in range(turn)]
+            need = rng.sample(earlier, min(len(earlier), rng.randrange(3)))
+            if conv == 3 and turn:
+                need = [ids[turn - 1]]
+            if conv % 4 == 1 and turn == 0 and len(ids) > 2:
+                need = [ids[-1]]
+            if conv % 5 == 2 and rng.random() < 0.2:
+                need.append("nowhere")
+            refs[conv, i] = need
+            args = ",".join(f'"q{n}":"$ref:{r}"' for n, r in enumerate(need))
+            rows.append((conv, turn, "assistant", f'<tool_call>{{"id":"{i}","name":"fetch","arguments":{{{args}}}}}</tool_call>'))
+    rows += [rows[0], rows[0]]
+
+    def level(conv, i, on=()):
+        if i in on:
+            return None
+        below = [level(conv, r, (*on, i)) for r in refs[conv, i] if (conv, r) in refs]
+        return None if None in below else 1 + max(below, default=-1)
+
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.format_chats(df).where("kind = 'call'").collect()
+    assert len(got) == len(rows)
+    again = [r for r in got if r["status"] == "duplicate_id"]
+    assert len(again) == 2
+    for r in got:
+        if r["status"] == "duplicate_id":
+            continue
+        want = level(r["conv_id"], r["call_id"])
+        assert r["level"] == (-1 if want is None else want), (r["conv_id"], r["call_id"])
+        lost = any((r["conv_id"], x) not in refs for x in refs[r["conv_id"], r["call_id"]])
+        assert (r["status"] == "missing_reference") == lost
+        assert (r["status"] == "cycle") == (want is None and not lost)
+
+
+def test_very_long_and_odd_messages(spark):
+    text = "x " * 200_000 + '<tool_call>{"id":"a","name":"search","arguments":{"query":"' + "y" * 100_000 + '"}}</tool_call>'
+    rows = [(1, 0, "assistant", text), (1, None, None, None), (None, None, None, "")]
+    got = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == 4 and [r["status"] for r in got if r["kind"] == "call"] == ["no_result"]

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, pick
+from .common import Scratch, attach, pick
 
 #: tool -> parameter -> (type, required)
 TOOLS = {
@@ -76,33 +76,39 @@ def _field(name: str, kind: str) -> Column:
 def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
     """(conv, call_id, level, lost) of calls (conv, call_id, refs).
 
-    Level by level: calls all of whose needs have levels get theirs. Those left when nothing
-    moves wait for each other. The rounds are as many as the longest chain of references.
+    Round by round: calls whose last need got its level in the round before get theirs, which
+    is the round's number. Those left when nothing moves wait for each other. The rounds are as many
+    as the longest chain of references; each adds its calls to one table, and the references
+    still open are written anew when half of them are settled.
     """
     known = calls.select("conv", "call_id")
     needs = calls.select("conv", "call_id", F.explode("refs").alias("need"))
     there = known.withColumnRenamed("call_id", "need").withColumn("found", F.lit(True))
     edges = scratch.keep(needs.join(there, ["conv", "need"], "left"))
     lost = edges.where("found is null").groupBy("conv", "call_id").agg(F.lit(True).alias("lost"))
-    edges = edges.where("found").drop("found")
-    waits = edges.select("conv", "call_id").distinct()
-    done = known.join(waits, ["conv", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    if not edges.isEmpty():
-        done = scratch.keep(done)
-        while True:
-            given = done.select("conv", F.col("call_id").alias("need"), "level")
-            ready = (
-                edges.join(done.select("conv", "call_id"), ["conv", "call_id"], "left_anti")
-                .join(given, ["conv", "need"], "left")
-                .groupBy("conv", "call_id")
-                .agg((F.max("level") + 1).alias("level"), F.max(F.col("level").isNull()).alias("open"))
-                .where("not open")
-                .drop("open")
-            )
-            ready = scratch.keep(ready)
-            if ready.isEmpty():
-                break
-            done = scratch.keep(done.unionByName(ready))
+    waiting = edges.where("found").drop("found")
+    first = known.join(waiting.select("conv", "call_id").distinct(), ["conv", "call_id"], "left_anti")
+    done = scratch.keep(first.withColumn("level", F.lit(0)))
+    written, n_open, level = None, waiting.count(), 0
+    while n_open:
+        level += 1
+        settled = done.select("conv", F.col("call_id").alias("need"))
+        left = waiting.join(settled, ["conv", "need"], "left_anti")
+        open_calls = left.select("conv", "call_id").distinct()
+        ready = waiting.select("conv", "call_id").distinct().join(open_calls, ["conv", "call_id"], "left_anti")
+        ready = ready.join(done.select("conv", "call_id"), ["conv", "call_id"], "left_anti")
+        ready = scratch.keep(ready.withColumn("level", F.lit(level)))
+        n_ready = ready.count()
+        if not n_ready:
+            break
+        n_left = left.count()
+        if 2 * n_left <= n_open:
+            before, waiting, n_open = written, scratch.keep(left), n_left
+            written = waiting
+            if before is not None:
+                scratch.drop(before)
+        done = scratch.append(done, ready)
+        scratch.drop(ready)
     return known.join(done, ["conv", "call_id"], "left").join(lost, ["conv", "call_id"], "left").select(
         "conv", "call_id", F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce("lost", F.lit(False)).alias("lost")
     )
@@ -155,8 +161,10 @@ def format_chats(messages: DataFrame, tools: dict | None = None) -> DataFrame:
     if tooled.isEmpty():
         return plain
     good = tooled.where("call_id is not null")
-    first = good.groupBy("kind", "conv", "call_id").agg(F.min(F.struct("turn", "part", "role", "body")).alias("first"))
-    marked = good.join(first, ["kind", "conv", "call_id"]).withColumn(
+    first = good.groupBy("kind", "conv", "call_id").agg(
+        F.min(F.struct("turn", "part", "role", "body")).alias("first"), F.count("*").alias("all")
+    )
+    marked = attach(good, scratch.keep(first), ["kind", "conv", "call_id"], "all").drop("all").withColumn(
         "again", ~F.struct("turn", "part", "role", "body").eqNullSafe(F.col("first"))
     )
     # Whole repeats of a row share their place; only one of them is the first.

@@ -124,6 +124,13 @@ class Scratch:
         kept._vozmark_path = path
         return kept
 
+    def append(self, table: DataFrame, df: DataFrame) -> DataFrame:
+        """``table``, given by keep, with the rows of ``df`` added to its files."""
+        df.write.mode("append").parquet(table._vozmark_path)
+        grown = self.spark.read.schema(table.schema).parquet(table._vozmark_path)
+        grown._vozmark_path = table._vozmark_path
+        return grown
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             self._delete(df._vozmark_path)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, pick
+from .common import HOT_ROWS, HOT_SHARE, Scratch, ascii_lower, pick
 
 #: (verdict, host, path prefix)
 RULES = [
@@ -134,22 +134,30 @@ def propagate(seeds: DataFrame, links: DataFrame) -> DataFrame:
     start = scratch.keep(
         base.unpivot("host", ["trust", "distrust"], "kind", "seed").select("kind", "host", "seed")
     )
-    senders = flow.select("kind", "host").distinct().withColumn("sends", F.lit(True))
+    # A host of very many links is hot; as in attach, such hosts are few and are broadcast.
+    senders = flow.groupBy("kind", "host").agg(F.count("*").alias("deg"))
+    all_links = senders.agg(F.coalesce(F.sum("deg"), F.lit(0))).first()[0]
+    hot = F.coalesce(F.col("deg") > max(HOT_ROWS, HOT_SHARE * all_links), F.lit(False))
     rank = scratch.keep(
         start.join(senders, ["kind", "host"], "left").select(
-            "kind", "host", "seed", F.coalesce("sends", F.lit(False)).alias("sends"), F.col("seed").alias("score")
+            "kind", "host", "seed", F.col("deg").isNotNull().alias("sends"), hot.alias("hot"), F.col("seed").alias("score")
         )
     )
+    hubs = rank.where("hot").select("kind", "host")
+    hot_flow = scratch.keep(flow.join(F.broadcast(hubs), ["kind", "host"]))
+    cold_flow = scratch.keep(flow.join(F.broadcast(hubs), ["kind", "host"], "left_anti"))
+    scratch.drop(flow, start)
     for _ in range(MAX_ITERATIONS):
         lost = {
             r["kind"]: r["s"] or 0.0
             for r in rank.groupBy("kind").agg(F.sum(F.when(~F.col("sends"), F.col("score"))).alias("s")).collect()
         }
         back = F.when(F.col("kind") == "trust", lost.get("trust", 0.0)).otherwise(lost.get("distrust", 0.0))
+        mass = rank.where(F.col("score") > 0)
         sent = (
-            rank.where(F.col("score") > 0)
-            .select("kind", "host", "score")
-            .join(flow, ["kind", "host"])
+            mass.where("not hot").select("kind", "host", "score").join(cold_flow, ["kind", "host"])
+            .unionByName(hot_flow.join(F.broadcast(mass.where("hot").select("kind", "host", "score")), ["kind", "host"])
+                         .select("kind", "host", "score", "to", "share"))
             .groupBy("kind", F.col("to").alias("host"))
             .agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         )
@@ -159,6 +167,7 @@ def propagate(seeds: DataFrame, links: DataFrame) -> DataFrame:
                 "host",
                 "seed",
                 "sends",
+                "hot",
                 (
                     (1 - DAMPING + DAMPING * back) * F.col("seed")
                     + DAMPING * F.coalesce("got", F.lit(0.0))
