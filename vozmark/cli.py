@@ -57,13 +57,12 @@ def main(argv: list[str] | None = None) -> int:
         give([r.asDict() for r in rows.orderBy("name").collect()], args.out)
         return 0
     if args.command == "annotations":
-        rows = tables.read_annotations_db(spark, args.db) if args.db else tables.read_annotations(spark, args.csv)
-        rows = rows if args.include_auto else rows.where("source <> 'auto'")
+        rows = tables.load_annotations(spark, args.db, args.csv) if args.db or not args.csv else tables.read_annotations(spark, args.csv)
+        rows = L.visible(rows, args.include_auto)
         if not args.rows:
             rows = L.latest_fold(rows, "speaker", L.MARKERS, "updated_at")
         if args.marker:
-            own = F.col(args.marker)
-            rows = rows.where((F.trim(own) != "") & (F.lit(args.value).isNull() | (own == F.lit(args.value))))
+            rows = L.choose_rows(rows, args.marker, args.value)
         give([r.asDict() for r in rows.orderBy("speaker").collect()], args.out)
         return 0
     utterances = audio.read_utterances(spark, args.directory).where("error IS NULL")

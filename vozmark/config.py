@@ -20,6 +20,7 @@ VOWEL_SOURCES = {"a": "aɐɑɒʌə", "ɛ": "ɛæ", "e": "e", "i": "iɪɨɯ", "ɔ
 SPECIAL_TOKENS = ["", "<blk>", "<sos/eos>", "<unk>"]
 POOL_HALF_WINDOW = 2
 CAP_SECONDS, MIN_SAMPLES = 12, 512
+LOGIT_SECONDS, LOGIT_LEAST_SECONDS, EMBED_HOP = 25, 0.1, 320
 FFT_SIZE, BAND_HZ, LOW_BAND_HZ, HIGH_BAND_HZ = 4096, (500, 8000), (2000, 4000), (5000, 8000)
 MERGE_GAP_S, MIN_SEGMENT_S = 0.3, 2.0
 

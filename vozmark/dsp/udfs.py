@@ -30,16 +30,22 @@ def clips(utterances: DataFrame, markers: DataFrame, half: int = 320, pairing: s
     )
 
 
-def spectral(rows: DataFrame) -> DataFrame:
-    """(speaker, vector, n): mean of spectral moments over a speaker's clips."""
-    from ..operators.vectors import mean_vectors
+def moments(rows: DataFrame) -> DataFrame:
+    """Clips with their six spectral moments in place of samples."""
     from .kernels import spectral_moments
 
     @F.pandas_udf("array<float>")
     def run(samples: pd.Series) -> pd.Series:
         return samples.map(spectral_moments)
 
-    each = rows.select("speaker", run("samples").alias("m"))
+    return rows.withColumn("moments", run("samples")).drop("samples")
+
+
+def spectral(rows: DataFrame) -> DataFrame:
+    """(speaker, vector, n): mean of spectral moments over a speaker's clips."""
+    from ..operators.vectors import mean_vectors
+
+    each = moments(rows).select("speaker", F.col("moments").alias("m"))
     counts = each.groupBy("speaker").agg(F.count("*").alias("n"))
     return mean_vectors(each, "speaker", "m").join(counts, "speaker")
 

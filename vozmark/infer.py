@@ -7,6 +7,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import config as C
 
@@ -77,17 +78,61 @@ def recognise(utterances: DataFrame, recognizer: Recognizer) -> DataFrame:
     return rows.mapInPandas(run, "speaker string, utt_id string, t int, logp array<float>")
 
 
-def embed(utterances: DataFrame, embedder: Embedder) -> DataFrame:
-    """(speaker, vector, n): unweighted mean of utterance embeddings; short ones are padded."""
+def forward_logits(samples: np.ndarray, recognizer: Recognizer) -> tuple[np.ndarray | None, float | None]:
+    """(frames x vocabulary, frames a second) of at most LOGIT_SECONDS; (None, None) of a sound
+    that is too short."""
+    x = np.asarray(samples[: C.LOGIT_SECONDS * C.SAMPLE_RATE], np.float32)
+    if len(x) < C.LOGIT_LEAST_SECONDS * C.SAMPLE_RATE:
+        return None, None
+    out = recognizer.frames(x)
+    return out, len(out) / (len(x) / C.SAMPLE_RATE)
+
+
+def recognise_logits(utterances: DataFrame, recognizer: Recognizer) -> DataFrame:
+    """(speaker, utt_id, t, logp, fps) by forward_logits; utterances that are too short have none."""
+
+    def run(batches):
+        recognizer.load()
+        for batch in batches:
+            for speaker, utt, x in batch.itertuples(index=False):
+                out, fps = forward_logits(x, recognizer)
+                n = 0 if out is None else len(out)
+                if n:
+                    yield pd.DataFrame({"speaker": [speaker] * n, "utt_id": [utt] * n, "t": range(n), "logp": list(out), "fps": [fps] * n})
+
+    rows = utterances.select("speaker", "utt_id", "samples")
+    return rows.mapInPandas(run, "speaker string, utt_id string, t int, logp array<float>, fps double")
+
+
+def embedding(samples: np.ndarray, embedder: Embedder) -> np.ndarray:
+    """One vector of an utterance, capped and padded. Of an embedder that gives frames, the mean
+    over those that the sound's own length fills."""
     from .dsp.kernels import scrub
+
+    x = scrub(samples, least=C.MIN_SAMPLES)
+    out = np.asarray(embedder.embed(x), np.float32)
+    if out.ndim == 2 and len(out) > 1:
+        out = out[: min(max(1, len(x) // C.EMBED_HOP), len(out))].mean(0)
+    return np.ravel(out)
+
+
+def embed(utterances: DataFrame, embedder: Embedder, size: int | None = None) -> DataFrame:
+    """(speaker, vector, n): unweighted mean of utterance embeddings; short ones are padded.
+    A speaker without a readable utterance (samples null) has n 0 and ``size`` NaN if size is given,
+    else is left out."""
     from .operators.vectors import mean_vectors
 
     def run(batches):
         embedder.load()
         for batch in batches:
-            out = [np.ravel(embedder.embed(scrub(x, least=C.MIN_SAMPLES))) for x in batch["samples"]]
-            yield pd.DataFrame({"speaker": batch["speaker"], "vector": out})
+            yield pd.DataFrame({"speaker": batch["speaker"], "vector": [embedding(x, embedder) for x in batch["samples"]]})
 
-    each = utterances.select("speaker", "samples").mapInPandas(run, "speaker string, vector array<float>")
+    readable = utterances.where("samples IS NOT NULL").select("speaker", "samples")
+    each = readable.mapInPandas(run, "speaker string, vector array<float>")
     counts = each.groupBy("speaker").count().withColumnRenamed("count", "n")
-    return mean_vectors(each, "speaker", "vector").join(counts, "speaker")
+    out = mean_vectors(each, "speaker", "vector").join(counts, "speaker")
+    if size is None:
+        return out
+    nothing = F.array_repeat(F.lit(float("nan")), size)
+    every = utterances.select("speaker").distinct().join(out, "speaker", "left")
+    return every.select("speaker", F.coalesce("vector", nothing).alias("vector"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -13,14 +13,56 @@ def usable(value: Column, unsure: str = "unsure") -> Column:
 
 
 def latest_fold(rows: DataFrame, key: str, columns: list[str], at: str, valid=usable) -> DataFrame:
-    """Per key and column the latest valid value; keys without any stay, with nulls."""
-    latest = [F.max_by(F.when(valid(F.col(c)), F.col(c)), F.when(valid(F.col(c)), F.col(at))).alias(c) for c in columns]
+    """Per key and column the latest valid value, of equally late ones the highest; keys without
+    any stay, with nulls."""
+    latest = [F.max(F.when(valid(F.col(c)), F.struct(F.col(at), F.col(c).alias("v"))))["v"].alias(c) for c in columns]
     return rows.groupBy(key).agg(*latest)
 
 
+def labels_map(folded: DataFrame, columns: list[str]) -> DataFrame:
+    """(key..., labels): the labels that there are as one map."""
+    rest = [c for c in folded.columns if c not in columns]
+    pairs = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c), F.col(c))) for c in columns]))
+    return folded.select(*rest, F.map_from_entries(pairs).alias("labels"))
+
+
+def annotated(folded: DataFrame, key: str, columns: list[str], marker: str | None = None, value=None) -> DataFrame:
+    """Keys of folded rows that have a label: of the marker if given, with that value if given."""
+    if marker is None:
+        return folded.where(F.coalesce(*columns).isNotNull()).select(key)
+    return with_label(folded, marker, value).select(key)
+
+
+def with_label(folded: DataFrame, marker: str, value=None) -> DataFrame:
+    """Folded rows, whole, that have a label of the marker, or that value of it."""
+    own = F.col(marker)
+    return folded.where(own.isNotNull() if value is None else own == F.lit(value))
+
+
+def visible(rows: DataFrame, include_auto: bool = False, source: str = "source") -> DataFrame:
+    """Rows without those that a script wrote."""
+    return rows if include_auto else rows.where(F.col(source) != "auto")
+
+
+def choose_rows(rows: DataFrame, marker: str, value: str | None = None) -> DataFrame:
+    """Rows with a label of the marker, 'unsure' among them, or with that value."""
+    rows = rows.where(F.trim(marker) != "")
+    return rows if value is None else rows.where(F.col(marker) == value)
+
+
+def profile(rows: DataFrame, dataset: str, speaker: str) -> DataFrame:
+    """(dataset, n, n_speakers)"""
+    return rows.groupBy(dataset).agg(F.count("*").alias("n"), F.count_distinct(speaker).alias("n_speakers"))
+
+
+def labelled_more_than_once(rows: DataFrame, speaker: str) -> DataFrame:
+    """(speaker, n) of speakers with several rows."""
+    return rows.groupBy(speaker).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def latest_by_kind(rows: DataFrame, key: str, kind: str, value: str, at: str, kinds: list[str]) -> DataFrame:
     """The same fold where labels stand below each other: one column for each kind."""
-    own = lambda k: F.max_by(value, F.when(F.col(kind) == k, F.col(at))).alias(k)
+    own = lambda k: F.max(F.when(F.col(kind) == k, F.struct(F.col(at), F.col(value).alias("v"))))["v"].alias(k)
     return rows.groupBy(key).agg(*[own(k) for k in kinds])
 
 

@@ -63,6 +63,44 @@ def markers_of(spikes: str) -> Column:
     return F.expr(f"flatten(element_at(transform(array({spikes}), c -> transform({pairs}, p -> array_compact(array({each})))), 1))")
 
 
+def _text_pattern(marker: str) -> str:
+    """A stretch up to and with the next run of a marker's phone: group 1 the phone, 2 the next
+    phone. Runs are possessive, so no match begins within a run that fails."""
+    blanks = "(?= *+"
+    if marker == "dt":
+        return rf"(?s)\G.*?([{''.join(C.STOPS)}])\1*+{blanks}([{''.join(C.FRONT_CONTEXT)}]))"
+    phones = C.CODA_S if marker == "s" else C.CODA_R
+    return rf"(?s)\G.*?([{''.join(phones)}])\1*+{blanks}(?![{C.VOWELS}])(.?))"
+
+
+def markers_in_text(text: str, marker: str) -> tuple[Column, Column]:
+    """array<struct<frame, phone, next_phone>> over a column __z, and that column, of a text whose characters are frames and whose
+    spaces are blanks: what spikes_of and markers_of give, by three passes of one pattern. Only
+    the markers become items, not every frame."""
+    pattern = F.lit(_text_pattern(marker))
+    part = lambda i: F.regexp_extract_all(F.col(text), pattern, i)
+    zipped = F.arrays_zip(part(0).alias("s"), part(1).alias("p"), part(2).alias("n"))
+    # A stretch ends with the run, which begins where the phone's repeats at its end do.
+    state = "struct(CAST(array() AS array<struct<frame:int,phone:string,next_phone:string>>) AS found, 0 AS at)"
+    lam = (
+        "(a, z) -> struct(concat(a.found, array(struct(a.at + length(rtrim(z.p, z.s)) AS frame, z.p AS phone, z.n AS next_phone))) AS found,"
+        " a.at + length(z.s) AS at)"
+    )
+    return F.expr(f"aggregate(__z, {state}, {lam}).found"), zipped
+
+
+def text_markers(rows: DataFrame, key: str, text: str, marker: str) -> DataFrame:
+    """(key, frame, phone, next_phone) of rows of text; no shuffle."""
+    found, zipped = markers_in_text(text, marker)
+    return rows.select(key, zipped.alias("__z")).select(key, F.explode(found).alias("m")).select(key, "m.*")
+
+
+def text_marker_counts(rows: DataFrame, key: str, text: str, markers: list[str]) -> DataFrame:
+    """(key, marker, n) of texts with such markers; no shuffle."""
+    counts = [F.struct(F.lit(m).alias("marker"), F.size(F.regexp_extract_all(F.col(text), F.lit(_text_pattern(m)), 1)).cast("long").alias("n")) for m in markers]
+    return rows.select(key, F.explode(F.array(*counts)).alias("m")).select(key, "m.*").where("n > 0")
+
+
 def collapse(frames: DataFrame, utt: str = "utt_id", t: str = "t", token: str = "id", blank=0) -> DataFrame:
     """Long form: frames that begin a run of a token other than blank."""
     before = F.lag(token).over(Window.partitionBy(utt).orderBy(t))

@@ -73,3 +73,75 @@ def human_size(n: Column) -> Column:
         out = F.when(n < base * 1024, text) if out is None else out.when(n < base * 1024, text)
         base *= 1024
     return out.otherwise(F.format_string("%.1f TB", F.round(n / base, 1)))
+
+
+def group_key(value: Column) -> Column:
+    """Value without outer white space, null if nothing is left."""
+    return F.nullif(F.trim(value), F.lit(""))
+
+
+def class_counts(rows: DataFrame, by: str) -> DataFrame:
+    """(class, n) of the values of a column; blank ones are no class."""
+    named = rows.select(group_key(F.col(by).cast("string")).alias("class")).where("class IS NOT NULL")
+    return named.groupBy("class").agg(F.count("*").alias("n"))
+
+
+def frequent_classes(rows: DataFrame, by: str, least: int) -> DataFrame:
+    """(class, n, kept): every class and whether it has so many rows."""
+    return class_counts(rows, by).withColumn("kept", F.col("n") >= least)
+
+
+def unknown_names(asked: DataFrame, known: DataFrame, name: str = "name") -> DataFrame:
+    """Names that are asked for and not known."""
+    return asked.join(known.select(name).distinct(), name, "left_anti")
+
+
+def allowed(rows: DataFrame, name: str, asked: list[str]) -> DataFrame:
+    """Rows of the names asked for; an error that tells the unknown ones and what there is."""
+    spark = rows.sparkSession
+    wanted = spark.createDataFrame([(n,) for n in asked], f"{name} string")
+    unknown = sorted(r[0] for r in unknown_names(wanted, rows, name).collect())
+    if unknown:
+        raise ValueError(f"unknown: {', '.join(unknown)}")
+    return rows.join(F.broadcast(wanted), name, "left_semi")
+
+
+def scan_hits(rows: DataFrame, hits: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among the hits. Only the key is read to tell them, as columns are pruned."""
+    return rows.join(hits.select(key).distinct(), key, "left_semi")
+
+
+def missing_rows(rows: DataFrame, there: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not there."""
+    return rows.join(there.select(key).distinct(), key, "left_anti")
+
+
+def appearance_order(turns: DataFrame, rec: str, spk: str, seq: Column) -> DataFrame:
+    """(rec, spk, idx): speakers of a recording numbered from 0 as they first appear."""
+    firsts = turns.groupBy(rec, spk).agg(F.min(seq).alias("__first"))
+    w = Window.partitionBy(rec).orderBy("__first")
+    return firsts.select(rec, spk, (F.dense_rank().over(w) - 1).alias("idx"))
+
+
+def number_segments(segments: DataFrame, rec: str, order: str, length: Column, least: float) -> DataFrame:
+    """Segments of at least so many seconds, numbered from 1 by recording and speaker."""
+    w = Window.partitionBy(rec, "spk").orderBy(order)
+    return segments.where(length >= least).withColumn("number", F.row_number().over(w))
+
+
+def durations(segments: DataFrame, rec: str, spk: str, length: Column, seq: Column) -> DataFrame:
+    """(rec, spk, duration, first): seconds of each speaker, and where they first appear."""
+    return segments.groupBy(rec, spk).agg(F.round(F.sum(length), 4).alias("duration"), F.min(seq).alias("first"))
+
+
+def most_active(sums: DataFrame, rec: str, spk: str, n: int = 2) -> DataFrame:
+    """The n speakers of each recording with the most seconds (the earlier of equals), numbered
+    anew from 0 in order of their old index ``spk``."""
+    top = cap_per_key(sums, rec, [F.desc("duration"), "first"], n)
+    w = Window.partitionBy(rec).orderBy(spk)
+    return top.withColumn("idx", F.row_number().over(w) - 1)
+
+
+def labelled(features: DataFrame, labels: DataFrame, key: str = "speaker") -> DataFrame:
+    """Features with the label of their speaker, joined by key, never by place."""
+    return features.join(labels, key)

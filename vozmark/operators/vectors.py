@@ -49,13 +49,35 @@ def pad_truncate(vector: Column, size: int) -> Column:
     return F.concat(clean, F.array_repeat(F.lit(0.0).cast("float"), F.lit(size) - F.size(clean)))
 
 
-def moments(power: str) -> dict[str, Column]:
-    """Centroid, variance, skewness, excess kurtosis, argmax bin and band ratio of a power array."""
-    e = lambda body: f"aggregate(transform({power}, (p, i) -> {body}), 0D, (a, b) -> a + b)"
-    total = F.expr(e("p"))
-    m1 = F.expr(e("p * i")) / total
-    return {"total": total, "m1": m1}
-
-
 def log_ratio(high: Column, low: Column) -> Column:
     return F.log10((high + 1e-12) / (low + 1e-12))
+
+
+def power_moments(power: str, low: tuple[int, int], high: tuple[int, int]) -> dict[str, Column]:
+    """Centroid, variance, skewness, excess kurtosis, first peak and log band ratio of a power
+    array, in bins; bands are bins from and to, both included."""
+    total = lambda body: F.expr(f"aggregate(transform({power}, (x, i) -> {body}), 0D, (a, b) -> a + b)")
+    energy, first = total("x"), total("x * i")
+    m1 = first / energy
+    raw = {k: total(f"x * pow(i, {k})") / energy for k in (2, 3, 4)}
+    m2 = raw[2] - m1 * m1
+    m3 = raw[3] - 3 * m1 * raw[2] + 2 * F.pow(m1, 3)
+    m4 = raw[4] - 4 * m1 * raw[3] + 6 * m1 * m1 * raw[2] - 3 * F.pow(m1, 4)
+    safe = F.greatest(m2, F.lit(1e-9))
+    band = lambda b: total(f"IF(i BETWEEN {b[0]} AND {b[1]}, x, 0D)")
+    return {
+        "m1": m1,
+        "variance": m2,
+        "skew": m3 / F.pow(safe, 1.5),
+        "kurtosis": m4 / F.pow(safe, 2) - 3,
+        "peak": (F.array_position(power, F.array_max(power)) - 1).cast("int"),
+        "ratio": log_ratio(band(high), band(low)),
+    }
+
+
+def dft_power(wave: str, size: int) -> Column:
+    """array<struct<k, power>> of the bins 0 to size / 2 of a wave of ``size`` samples."""
+    part = lambda f: (
+        f"pow(aggregate(transform({wave}, (x, n) -> CAST(x AS DOUBLE) * {f}(2 * pi() * k * n / {size})), 0D, (a, b) -> a + b), 2)"
+    )
+    return F.expr(f"transform(sequence(0, {size // 2}), k -> struct(k, {part('cos')} + {part('sin')} AS power))")

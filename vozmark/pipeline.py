@@ -39,20 +39,46 @@ class FeaturePipeline:
     def markers(self, frames: DataFrame) -> DataFrame:
         return P.marker_frames(self.spikes(frames))
 
-    def pooled(self, frames: DataFrame, markers: DataFrame, soft: bool) -> DataFrame:
-        """(speaker, marker, pos, value): means over markers of values pooled around them, by group
-        token; ``soft`` pools probabilities, else log probabilities."""
+    def _around(self, frames: DataFrame, markers: DataFrame, soft: bool) -> DataFrame:
+        """(speaker, utt_id, frame, marker, pos, x): values of the marker's group tokens, pooled
+        over the frames around it; ``soft`` pools probabilities, else log probabilities."""
+        unknown = sorted({r["marker"] for r in markers.select("marker").distinct().collect()} - set(self.groups))
+        if unknown:  # markers are a handful of names
+            raise ValueError(f"no phone group of {', '.join(unknown)}")
         spark = frames.sparkSession
         table = spark.createDataFrame(
             [(m, k, p) for m, ps in self.groups.items() for k, p in enumerate(ps)], "marker string, pos int, token string"
         )
         wanted = table.join(self.vocabulary, "token").select("marker", "pos", "id")
+        half = C.POOL_HALF_WINDOW
+        marks = markers.select("utt_id", "marker", F.col("frame"), F.explode(F.sequence(F.col("frame") - half, F.col("frame") + half)).alias("t"))
+        # Only frames near a marker become probabilities.
+        near = frames.select("speaker", "utt_id", "t", "logp").join(marks, ["utt_id", "t"])
         values = P.softmax("logp") if soft else F.col("logp").cast("array<double>")
-        near = frames.select("speaker", "utt_id", "t", values.alias("v"))
-        marks = markers.select("utt_id", "marker", F.col("frame"), F.explode(F.sequence(F.col("frame") - C.POOL_HALF_WINDOW, F.col("frame") + C.POOL_HALF_WINDOW)).alias("t"))
-        joined = near.join(marks, ["utt_id", "t"]).join(F.broadcast(wanted), "marker")
-        one = joined.groupBy("speaker", "utt_id", "frame", "marker", "pos").agg(F.avg(F.get("v", F.col("id"))).alias("x"))
-        return one.groupBy("speaker", "marker", "pos").agg(F.avg("x").alias("value"))
+        joined = near.withColumn("v", values).join(F.broadcast(wanted), "marker")
+        return joined.groupBy("speaker", "utt_id", "frame", "marker", "pos").agg(F.avg(F.get("v", F.col("id"))).alias("x"))
+
+    def pooled(self, frames: DataFrame, markers: DataFrame, soft: bool) -> DataFrame:
+        """(speaker, marker, pos, value): means over a speaker's markers of the pooled values."""
+        return self._around(frames, markers, soft).groupBy("speaker", "marker", "pos").agg(F.avg("x").alias("value"))
+
+    def utterance_vectors(self, frames: DataFrame, markers: DataFrame, soft: bool = False) -> DataFrame:
+        """(utt_id, vector): as vectors, for each utterance that has a marker."""
+        per = self._around(frames, markers, soft).groupBy("utt_id", "marker", "pos").agg(F.avg("x").alias("value"))
+        named = per.withColumnRenamed("utt_id", "speaker")
+        return self.vectors(named, markers.select(F.col("utt_id").alias("speaker")).distinct()).withColumnRenamed("speaker", "utt_id")
+
+    def marker_rows(self, utterances: DataFrame, frames: DataFrame, markers: DataFrame, half: int = 320) -> DataFrame:
+        """(speaker, utt_id, marker, frame, vector): spectral moments of the clip around each marker,
+        and the pooled probabilities of its group's known tokens. Groups differ in width."""
+        pairs = F.array_sort(F.collect_list(F.struct("pos", "x")))
+        soft = self._around(frames, markers, True).groupBy("utt_id", "marker", "frame").agg(
+            F.transform(pairs, lambda p: p["x"].cast("float")).alias("soft")
+        )
+        placed = utterances.select("speaker", "utt_id").join(markers, "utt_id")
+        shape = udfs.moments(udfs.clips(utterances, placed, half))
+        both = shape.join(soft, ["utt_id", "marker", "frame"])
+        return both.select("speaker", "utt_id", "marker", "frame", F.concat("moments", "soft").alias("vector"))
 
     def vectors(self, pooled: DataFrame, speakers: DataFrame) -> DataFrame:
         """(speaker, vector): the groups' blocks in order, NaN where a speaker has no marker."""

@@ -18,6 +18,7 @@ from ..operators import labels as L
 from ..operators import phones as P
 from ..operators import selection as S
 from ..operators import vectors as V
+from ..sources import corpora as R
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -69,7 +70,7 @@ def latest_wins_fold(t):
 
 @query(f"SELECT user_id FROM ({_FOLD}) WHERE coalesce({', '.join(KINDS)}) IS NOT NULL")
 def fold_any_label(t):
-    return _fold(t).where(F.coalesce(*KINDS).isNotNull()).select("user_id")
+    return L.annotated(_fold(t), "user_id", KINDS)
 
 
 @query(f"SELECT user_id, click, view FROM ({_FOLD}) WHERE click > 50")
@@ -77,11 +78,21 @@ def fold_value_filter(t):
     return _fold(t).where("click > 50").select("user_id", "click", "view")
 
 
+@query(f"WITH f AS ({_FOLD}) SELECT user_id, {', '.join(KINDS)} FROM f WHERE view IS NOT NULL")
+def fold_with_label(t):
+    return L.with_label(_fold(t), "view")
+
+
+@query(f"WITH f AS ({_FOLD}) SELECT user_id FROM f WHERE click = (SELECT max(click) FROM f)")
+def fold_speakers_of_value(t):
+    top = _fold(t).agg(F.max("click").alias("click"))
+    return L.annotated(_fold(t).join(F.broadcast(top), "click", "left_semi"), "user_id", KINDS, "click")
+
+
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_type <> 'error' AND event_type = 'click'")
 def rows_filter_marker(t):
-    return t("events").where((F.col("event_type") != FRUITLESS) & (F.col("event_type") == "click")).select(
-        "event_id", "user_id", "event_type"
-    )
+    rows = L.visible(t("events").withColumn("source", F.when(F.col("event_type") == FRUITLESS, "auto").otherwise("human")))
+    return L.choose_rows(rows, "event_type", "click").select("event_id", "user_id", "event_type")
 
 
 @query("""
@@ -135,21 +146,45 @@ def todo_missing(t):
 
 @query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1")
 def multi_annotated(t):
-    return t("orders").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 1")
+    return L.labelled_more_than_once(t("orders"), "o_custkey")
 
 
 @query("SELECT lang, count(*) AS n, count(DISTINCT source) AS n_sources FROM documents GROUP BY lang")
 def dataset_profile(t):
-    return t("documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"))
+    return L.profile(t("documents"), "lang", "source").withColumnRenamed("n_speakers", "n_sources")
 
 
 # ---- filters, routing, quotas -------------------------------------------------------
 
 
-@query("SELECT doc_id, lang FROM documents WHERE trim(coalesce(lang, '')) = '' OR lang = 'de'")
+_CLIPS = """clips AS (
+  SELECT source || '/' || (doc_id % 97) AS path, doc_id::VARCHAR AS client_id, doc_id AS seq,
+         CASE WHEN doc_id % 5 = 0 THEN ' ' WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS variant FROM documents),
+idx AS (SELECT path, max_by(client_id, seq) AS client_id FROM clips WHERE trim(coalesce(variant, '')) IN ('', 'de') GROUP BY path)"""
+
+
+def _clips(t):
+    variant = F.expr("CASE WHEN doc_id % 5 = 0 THEN ' ' WHEN doc_id % 7 = 0 THEN NULL ELSE lang END").alias("variant")
+    path = F.concat_ws("/", "source", (F.col("doc_id") % 97).cast("string")).alias("path")
+    rows = t("documents").select(path, F.col("doc_id").cast("string").alias("client_id"), F.col("doc_id").alias("seq"), variant)
+    return R.clip_index(rows, "de")
+
+
+@query(f"WITH {_CLIPS} SELECT path, client_id FROM idx")
 def variant_filter(t):
-    lang = F.coalesce("lang", F.lit(""))
-    return t("documents").where((F.trim(lang) == "") | (lang == "de")).select("doc_id", "lang")
+    return _clips(t)
+
+
+@query("""
+WITH idx AS (SELECT 'f' || doc_id || '.mp3' AS path, source AS client_id FROM documents WHERE doc_id % 3 > 0),
+keep AS (SELECT client_id FROM idx GROUP BY client_id HAVING count(*) >= 4 ORDER BY count(*) DESC, client_id LIMIT 6)
+SELECT 'clips/f' || d.doc_id || '.mp3' AS name, client_id FROM documents d JOIN idx ON idx.path = 'f' || d.doc_id || '.mp3'
+WHERE client_id IN (SELECT client_id FROM keep)""")
+def clip_speakers(t):
+    file = F.concat(F.lit("f"), F.col("doc_id"), F.lit(".mp3"))
+    index = t("documents").where("doc_id % 3 > 0").select(file.alias("path"), F.col("source").alias("client_id"))
+    archive = t("documents").select(F.concat(F.lit("clips/"), file).alias("name"))
+    return R.clip_speakers(archive, index, R.frequent_speakers(index, 4, 6)).select("name", "client_id")
 
 
 @query("""
@@ -159,33 +194,100 @@ def dedupe_last_wins(t):
     return S.last_wins(t("events").select("user_id", "event_id", "event_type", "ts"), "user_id", ["ts", "event_id"]).drop("ts")
 
 
-_ROUTE = r"^[a-z]+://([^/]+)/([a-z]+)/([0-9]+)"
+_SUBSET = """CASE doc_id % 5 WHEN 0 THEN 'train/NURC_RE/type/' || source || '/' || doc_id || '.wav'
+  WHEN 1 THEN 'train/CORAL/' || doc_id || '_CO_' || source || '.wav' WHEN 2 THEN 'train/Ted_part1/' || source || '-' || doc_id || '.wav'
+  WHEN 3 THEN 'train/alip/' || doc_id || '.wav' ELSE 'train/NURC_RE/' || source || '.wav' END"""
 
 
-@query(rf"""
-SELECT page_id, CASE WHEN regexp_matches(url, '{_ROUTE}') THEN regexp_extract(url, '{_ROUTE}', 2) ELSE 'reject' END AS section,
-       regexp_extract(url, '{_ROUTE}', 1) AS speaker, regexp_extract(url, '{_ROUTE}', 3) AS file,
-       len(string_split(url, '/'))::INT AS n_parts
-FROM pages""")
+@query("""
+SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'nurc' WHEN 1 THEN 'coral' WHEN 2 THEN 'ted' END AS subset,
+       CASE WHEN doc_id % 5 < 3 THEN source END AS speaker,
+       CASE doc_id % 5 WHEN 0 THEN doc_id || '.wav' WHEN 1 THEN doc_id || '_CO_' || source || '.wav'
+         WHEN 2 THEN source || '-' || doc_id || '.wav' END AS file
+FROM documents""")
 def route_paths(t):
-    part = lambda i: F.regexp_extract("url", _ROUTE, i)
-    return t("pages").select(
-        "page_id",
-        F.when(F.col("url").rlike(_ROUTE), part(2)).otherwise("reject").alias("section"),
-        part(1).alias("speaker"),
-        part(3).alias("file"),
-        F.size(F.split("url", "/")).alias("n_parts"),
-    )
+    rows = t("documents").select("doc_id", F.expr(_SUBSET).alias("name"))
+    return R.route_subsets(rows).select("doc_id", "subset", "speaker", "file")
+
+
+@query("""
+SELECT doc_id, lang AS split, source AS speaker, doc_id || '.wav' AS file FROM documents
+WHERE lang IN ('de', 'fr') AND doc_id % 4 <> 3""")
+def route_splits(t):
+    kind = F.when(F.col("doc_id") % 4 == 3, "text").otherwise("audio")
+    name = F.concat_ws("/", F.lit("root"), "lang", kind, "source", F.lit("c1"), F.concat(F.col("doc_id").cast("string"), F.lit(".wav")))
+    rows = R.route_splits(t("documents").select("doc_id", name.alias("name")), ["de", "fr"])
+    return rows.select("doc_id", "split", "speaker", "file")
 
 
-@query("SELECT c_custkey, string_split(c_name, '#')[1] AS speaker FROM customer")
+@query("SELECT c_custkey, c_mktsegment AS speaker FROM customer")
 def stem_speaker(t):
-    return t("customer").select("c_custkey", F.substring_index("c_name", "#", 1).alias("speaker"))
+    path = F.concat(F.lit("a/b_c/"), F.col("c_mktsegment"), F.lit("_"), F.col("c_custkey"), F.lit(".x.wav"))
+    return t("customer").select("c_custkey", R.stem_speaker(path).alias("speaker"))
+
+
+_EPISODE = "CASE WHEN event_id % 9 > 0 THEN substr(md5(user_id::VARCHAR), 1, 22) END"
+
 
+def _episodes(t):
+    code = F.md5(F.col("event_id").cast("string").cast("binary"))
+    name = F.concat(F.lit("x/"), F.substring(F.md5(F.col("user_id").cast("string").cast("binary")), 1, 22))
+    name = F.concat(name, F.when(F.col("event_id") % 9 > 0, "_").otherwise("-"), code, F.substring(code, 1, 8), F.lit("_1.mp3"))
+    return t("events").select("event_id", R.episode_of(name).alias("episode"))
 
-@query("SELECT DISTINCT unnest(regexp_extract_all(url, '[0-9]+')) AS episode FROM pages")
+
+@query(f"SELECT event_id, {_EPISODE} AS episode FROM events")
 def episode_ids(t):
-    return t("pages").select(F.explode(F.regexp_extract_all("url", F.lit("[0-9]+"), 0)).alias("episode")).distinct()
+    return _episodes(t)
+
+
+@query(f"""
+WITH e AS (SELECT event_id, {_EPISODE} AS episode FROM events),
+f AS (SELECT episode FROM e WHERE episode IS NOT NULL GROUP BY episode ORDER BY min(event_id) LIMIT 20)
+SELECT event_id, episode FROM e WHERE episode IN (SELECT episode FROM f)
+QUALIFY row_number() OVER (PARTITION BY episode ORDER BY event_id) <= 3""")
+def cap_episodes(t):
+    return R.cap_episodes(_episodes(t), ["event_id"], per_episode=3, episodes=20)
+
+
+@query("""
+SELECT doc_id, (row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) - 1)::BIGINT AS i,
+       lang || '_' || lpad((row_number() OVER (PARTITION BY lang ORDER BY source, doc_id) - 1)::VARCHAR, 6, '0') AS file
+FROM documents WHERE lang IN ('de', 'es')""")
+def split_rows(t):
+    docs = t("documents").select("doc_id", "lang", "source")
+    rows = R.split_rows({k: docs.where(F.col("lang") == k) for k in ("de", "es")}, "source", ["doc_id"])
+    return rows.select("doc_id", "i", "file")
+
+
+@query("""
+SELECT trim(value) AS class, count(*) AS n, count(*) >= 30 AS kept FROM (
+  SELECT CASE WHEN doc_id % 6 = 0 THEN '  ' WHEN doc_id % 11 = 0 THEN NULL ELSE ' ' || source END AS value FROM documents)
+WHERE trim(coalesce(value, '')) <> '' GROUP BY trim(value)""")
+def class_counts(t):
+    value = F.expr("CASE WHEN doc_id % 6 = 0 THEN '  ' WHEN doc_id % 11 = 0 THEN NULL ELSE concat(' ', source) END")
+    return S.frequent_classes(t("documents").select(value.alias("value")), "value", 30)
+
+
+@query("""
+SELECT count(DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1)) AS n_dirs, count(*) AS n_files, sum(size)::BIGINT AS bytes
+FROM (SELECT url AS path, length(coalesce(html, '')) AS size FROM pages)""")
+def tree_summary(t):
+    rows = t("pages").select(F.col("url").alias("path"), F.length(F.coalesce("html", F.lit(""))).cast("long").alias("size"))
+    return R.tree_summary(rows)
+
+
+@query("SELECT vec_id, quality AS y, embedding[1]::DOUBLE AS x FROM embeddings JOIN labels ON vec_id = doc_id")
+def labels_by_key(t):
+    labels = t("labels").select(F.col("doc_id").alias("vec_id"), F.col("quality").alias("y"))
+    features = t("embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"))
+    return S.labelled(features, labels, "vec_id").select("vec_id", "y", "x")
+
+
+@query("SELECT 'n_' || lpad(c_custkey::VARCHAR, 4, '0') AS name, c_custkey FROM customer WHERE c_custkey < 10000")
+def numbered_names(t):
+    rows = t("customer").where("c_custkey < 10000").select(F.lit("n").alias("base"), "c_custkey")
+    return rows.select(R.numbered("base", "c_custkey", 4).alias("name"), "c_custkey")
 
 
 @query(r"SELECT p_partkey, regexp_replace(p_name, '[^\p{L}\p{N}\-_.]', '_', 'g') AS name FROM part")
@@ -258,20 +360,21 @@ SELECT l_orderkey, l_linenumber FROM lineitem
 WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
 def semi_join_two_phase(t):
     hits = t("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return t("lineitem").select("l_orderkey", "l_linenumber").join(hits, "l_orderkey", "left_semi")
+    return S.scan_hits(t("lineitem").select("l_orderkey", "l_linenumber"), hits, "l_orderkey")
 
 
 @query("""
 SELECT o_orderkey, coalesce(c_name, '') AS text FROM orders
 LEFT JOIN (SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey""")
 def metadata_left_join(t):
-    names = t("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"), "c_name")
-    return t("orders").join(names, "o_custkey", "left").select("o_orderkey", F.coalesce("c_name", F.lit("")).alias("text"))
+    names = t("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("sentence_id"), F.col("c_name").alias("text"))
+    return R.with_texts(t("orders").select("o_orderkey", F.col("o_custkey").alias("sentence_id")), names).select("o_orderkey", "text")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def missing_rows_anti(t):
-    return t("customer").select("c_custkey").join(t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    urgent = t("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return S.missing_rows(t("customer").select("c_custkey"), urgent, "c_custkey")
 
 
 _ALLOWED = ["BRAZIL", "FRANCE", "ATLANTIS", "NATION_3"]
@@ -281,7 +384,7 @@ _ALLOWED = ["BRAZIL", "FRANCE", "ATLANTIS", "NATION_3"]
 def allowlist_validate(t):
     nation = t("nation")
     asked = nation.sparkSession.createDataFrame([(n,) for n in _ALLOWED], "name string")
-    return asked.join(nation.select(F.col("n_name").alias("name")), "name", "left_anti")
+    return S.unknown_names(asked, nation.select(F.col("n_name").alias("name")))
 
 
 @query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN printf('%.1f B', n_chars::DOUBLE) ELSE printf('%.1f KB', round(n_chars / 1024.0::DOUBLE, 1)) END AS size FROM documents")
@@ -345,8 +448,8 @@ def spike_context(t):
     return _spiked(t).select(F.explode(pairs).alias("p")).groupBy("p.token", "p.next_phone").agg(F.count("*").alias("n"))
 
 
-def _marked(t):
-    return _spiked(t).select("doc_id", F.explode(P.markers_of("s")).alias("m")).select("doc_id", "m.*")
+def _texts(t):
+    return t("documents").where("text <> ''").select("doc_id", F.lower("text").alias("text"))
 
 
 def _marker_sql(marker: str) -> str:
@@ -359,7 +462,7 @@ def _marker_sql(marker: str) -> str:
 for _m in C.PHONE_GROUPS:
 
     def _one(t, m=_m):
-        rows = _marked(t).where(F.col("marker") == m)
+        rows = P.text_markers(_texts(t), "doc_id", "text", m)
         return rows.select("doc_id", "frame", (F.col("frame") * 20 / 1000.0).alias("time_s"), "phone", "next_phone")
 
     _one.__name__ = f"markers_{_m}"
@@ -370,7 +473,16 @@ for _m in C.PHONE_GROUPS:
     f"SELECT doc_id, '{m}' AS marker FROM ctx WHERE {c}" for m, c in P.tests("token", "next_phone").items()
 ) + ") GROUP BY ALL")
 def marker_counts(t):
-    return _marked(t).groupBy("doc_id", "marker").agg(F.count("*").alias("n"))
+    return P.text_marker_counts(_texts(t), "doc_id", "text", list(C.PHONE_GROUPS))
+
+
+@query(f"WITH {_CHARS} SELECT marker, count(*) AS n, sum(t)::BIGINT AS sum_t FROM (" + " UNION ALL ".join(
+    f"SELECT t, '{m}' AS marker FROM ctx WHERE {c}" for m, c in P.tests("token", "next_phone").items()
+) + ") GROUP BY marker")
+def marker_totals(t):
+    """The general form, over arrays of tokens."""
+    marks = _spiked(t).select(F.explode(P.markers_of("s")).alias("m"))
+    return marks.groupBy("m.marker").agg(F.count("*").alias("n"), F.sum(F.col("m.frame").cast("long")).alias("sum_t"))
 
 
 _VOWELS = {"a": "aáâãàä", "e": "eéêè", "i": "ií", "o": "oóôõö", "u": "uúü"}
@@ -397,33 +509,35 @@ def softmax_probs(t):
     return t("embeddings").select("vec_id", F.posexplode(P.softmax("embedding")).alias("i", "p")).withColumn("p", r6("p"))
 
 
-@query("""
-SELECT vec_id, label, round(avg(embedding[1]::DOUBLE) OVER w, 6) AS x0, round(avg(embedding[2]::DOUBLE) OVER w, 6) AS x1
-FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
+_ITEMS = "x AS (SELECT vec_id, label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+_NEAR = "OVER (PARTITION BY label, i ORDER BY vec_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
+
+
+def _pooled(rows):
+    names = [f"x{i}" for i in range(64)]
+    wide = rows.select("vec_id", "label", *[F.get("v", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
+    near = P.pool(wide, "label", "vec_id", names)
+    return near.select("vec_id", "label", F.posexplode(F.array(*names)).alias("i", "v")).withColumn("v", r6("v"))
+
+
+@query(f"WITH {_ITEMS} SELECT vec_id, label, i::INT AS i, round(avg(v) {_NEAR}, 6) AS v FROM x")
 def window_pool(t):
-    rows = t("embeddings").select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in (0, 1)])
-    return P.pool(rows, "label", "vec_id", ["x0", "x1"]).withColumns({c: r6(c) for c in ("x0", "x1")})
+    return _pooled(t("embeddings").select("vec_id", "label", F.col("embedding").alias("v")))
 
 
-@query("""
-WITH x AS (SELECT vec_id, label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
-e AS (SELECT vec_id, label, i, exp(v - max(v) OVER (PARTITION BY vec_id)) AS e FROM x),
-p AS (SELECT vec_id, label, i, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM e)
-SELECT vec_id, label, round(avg(p) OVER (PARTITION BY label ORDER BY vec_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) AS p3
-FROM p WHERE i = 3""")
+@query(f"""
+WITH {_ITEMS}, e AS (SELECT vec_id, label, i, exp(v - max(v) OVER (PARTITION BY vec_id)) AS e FROM x),
+p AS (SELECT vec_id, label, i, e / sum(e) OVER (PARTITION BY vec_id) AS v FROM e)
+SELECT vec_id, label, i::INT AS i, round(avg(v) {_NEAR}, 6) AS v FROM p""")
 def window_probs(t):
-    rows = t("embeddings").select("vec_id", "label", P.softmax("embedding")[3].alias("p3"))
-    return P.pool(rows, "label", "vec_id", ["p3"]).withColumn("p3", r6("p3"))
+    return _pooled(t("embeddings").select("vec_id", "label", P.softmax("embedding").alias("v")))
 
 
-@query("""
-SELECT label, round(avg(embedding[6]::DOUBLE), 6) AS g5, round(avg(embedding[10]::DOUBLE), 6) AS g9, NULL::DOUBLE AS absent
-FROM embeddings GROUP BY label""")
+@query(f"WITH {_ITEMS} SELECT label, i::INT AS pos, round(avg(v), 6) AS value FROM x GROUP BY ALL UNION ALL SELECT DISTINCT label, 64, NULL FROM x")
 def group_logits(t):
-    ids = {"g5": 5, "g9": 9, "absent": 9999}
-    return t("embeddings").groupBy("label").agg(
-        *[r6(F.avg(F.get("embedding", F.lit(i)).cast("double"))).alias(n) for n, i in ids.items()]
-    )
+    ids = [F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(65)]  # the last one is absent
+    got = t("embeddings").groupBy("label").agg(F.array(*ids).alias("v"))
+    return got.select("label", F.posexplode("v").alias("pos", "value")).withColumn("value", r6("value"))
 
 
 @query("SELECT event_id, round_even(value * 50, 0)::INT AS frame FROM events")
@@ -434,23 +548,23 @@ def time_to_frame(t):
 # ---- vectors ------------------------------------------------------------------------
 
 
-@query("""
-SELECT l_suppkey, """ + ", ".join(
-    f"round(avg({c}) FILTER (WHERE l_returnflag = '{v}'), 4) AS {v}_{c}" for v in "ANR" for c in ("l_quantity", "l_extendedprice")
-) + """, round(avg(l_quantity), 4) AS mean_q, round(stddev_pop(l_quantity), 4) AS sd_q, count(*) AS n_tokens
-FROM lineitem GROUP BY l_suppkey""")
+_F0 = "CASE WHEN l_linenumber > 1 THEN l_tax END"
+_FORMANTS = [f"avg({c}) FILTER (WHERE l_returnflag = '{v}')" for v in "ANR" for c in ("l_quantity", "l_extendedprice", "l_discount")]
+_FORMANTS += [f"{a}({c})" for c in ("l_quantity", "l_extendedprice", "l_discount") for a in ("avg", "stddev_pop")]
+_FORMANTS += [f"{a}({_F0})" for a in ("avg", "stddev_pop")]
+
+
+@query(f"""
+SELECT l_suppkey, unnest(range({len(_FORMANTS)}))::INT AS pos, n_tokens,
+       unnest([{', '.join(f'round(({e})::FLOAT::DOUBLE, 2)' for e in _FORMANTS)}]) AS value
+FROM (SELECT l_suppkey, count(*) AS n_tokens, {', '.join(f'{e} AS m{i}' for i, e in enumerate(_FORMANTS))} FROM lineitem GROUP BY l_suppkey)
+""".replace("round((", "round((").replace(", ".join(f"round(({e})::FLOAT::DOUBLE, 2)" for e in _FORMANTS), ", ".join(f"round(m{i}::FLOAT::DOUBLE, 2)" for i in range(len(_FORMANTS)))))
 def formant_vector(t):
-    cells = [
-        F.round(F.avg(F.when(F.col("l_returnflag") == v, F.col(c))), 4).alias(f"{v}_{c}")
-        for v in "ANR"
-        for c in ("l_quantity", "l_extendedprice")
-    ]
-    return t("lineitem").groupBy("l_suppkey").agg(
-        *cells,
-        F.round(F.avg("l_quantity"), 4).alias("mean_q"),
-        F.round(F.stddev_pop("l_quantity"), 4).alias("sd_q"),
-        F.count("*").alias("n_tokens"),
-    )
+    cols = [F.col(a).alias(b) for a, b in (("l_quantity", "f1"), ("l_extendedprice", "f2"), ("l_discount", "f3"), ("l_returnflag", "vowel"))]
+    f0 = F.when(F.col("l_linenumber") > 1, F.col("l_tax")).otherwise(float("nan")).alias("f0")
+    got = V.formant_vector(t("lineitem").select("l_suppkey", *cols, f0), "l_suppkey", list("ANR"))
+    rows = got.select("l_suppkey", "n_tokens", F.posexplode("vector").alias("pos", "value"))
+    return rows.select("l_suppkey", "pos", "n_tokens", F.round(F.col("value").cast("double"), 2).alias("value"))
 
 
 @query("""
@@ -488,34 +602,18 @@ SELECT vec_id, round(m1, 4) AS m1, round(m2, 4) AS variance, round(m3 / greatest
        round(log10((hi + 1e-12) / (lo + 1e-12)), 4) AS ratio FROM a JOIN b USING (vec_id)""")
 def spectral_moments_sql(t):
     p = t("embeddings").select("vec_id", F.expr("transform(embedding, x -> CAST(x AS DOUBLE) * CAST(x AS DOUBLE))").alias("p"))
-    total = lambda body: F.expr(f"aggregate(transform(p, (x, i) -> {body}), 0D, (a, b) -> a + b)")
-    p = p.withColumn("e", total("x")).withColumn("m1", total("x * i") / F.col("e"))
-    p = p.withColumns({f"m{k}": total(f"x * pow(i - m1, {k})") / F.col("e") for k in (2, 3, 4)})
-    safe = F.greatest("m2", F.lit(1e-9))
-    band = lambda a, b: total(f"IF(i BETWEEN {a} AND {b}, x, 0D)")
-    r4 = lambda c: F.round(c, 4)
-    return p.select(
-        "vec_id",
-        r4(F.col("m1")).alias("m1"),
-        r4(F.col("m2")).alias("variance"),
-        r4(F.col("m3") / F.pow(safe, 1.5)).alias("skew"),
-        r4(F.col("m4") / F.pow(safe, 2) - 3).alias("kurtosis"),
-        P.argmax("p").alias("peak"),
-        r4(V.log_ratio(band(20, 32), band(8, 16))).alias("ratio"),
-    )
+    got = V.power_moments("p", (8, 16), (20, 32))
+    return p.select("vec_id", *[c.alias(n) if n == "peak" else F.round(c, 4).alias(n) for n, c in got.items()])
 
 
 @query("""
 WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS n, unnest(embedding)::DOUBLE AS v FROM embeddings),
-k AS (SELECT unnest(range(5)) AS k)
+k AS (SELECT unnest(range(33)) AS k)
 SELECT vec_id, k::INT AS k, round(sum(v * cos(2 * pi() * k * n / 64)) ** 2 + sum(v * sin(2 * pi() * k * n / 64)) ** 2, 5) AS power
 FROM x, k GROUP BY ALL""")
 def dft_power(t):
-    wave = lambda f: (
-        f"pow(aggregate(transform(embedding, (x, n) -> CAST(x AS DOUBLE) * {f}(2 * pi() * k * n / 64)), 0D, (a, b) -> a + b), 2)"
-    )
-    power = F.expr(f"transform(sequence(0, 4), k -> struct(k, {wave('cos')} + {wave('sin')} AS power))")
-    return t("embeddings").select("vec_id", F.explode(power).alias("s")).select("vec_id", "s.k", F.round("s.power", 5).alias("power"))
+    rows = t("embeddings").select("vec_id", F.explode(V.dft_power("embedding", 64)).alias("s"))
+    return rows.select("vec_id", "s.k", F.round("s.power", 5).alias("power"))
 
 
 # ---- segments -----------------------------------------------------------------------
@@ -543,24 +641,23 @@ def merge_segments(t):
 SELECT user_id, event_type, (rank() OVER (PARTITION BY user_id ORDER BY f) - 1)::INT AS idx
 FROM (SELECT user_id, event_type, min((ts, event_id)) AS f FROM events GROUP BY ALL)""")
 def turn_order(t):
-    firsts = t("events").groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("f"))
-    w = Window.partitionBy("user_id").orderBy("f")
-    return firsts.select("user_id", "event_type", (F.dense_rank().over(w) - 1).alias("idx"))
+    return S.appearance_order(t("events"), "user_id", "event_type", F.struct("ts", "event_id"))
 
 
 @query(f"""WITH {_TURNS} SELECT user_id, island, spk, row_number() OVER (PARTITION BY user_id, spk ORDER BY island)::INT AS number
 FROM merged WHERE end_s - start_s >= 20""")
 def segment_numbers(t):
-    w = Window.partitionBy("user_id", "spk").orderBy("island")
-    return _turns(t).where("end_s - start_s >= 20").select("user_id", "island", "spk", F.row_number().over(w).alias("number"))
+    length = F.col("end_s") - F.col("start_s")
+    return S.number_segments(_turns(t), "user_id", "island", length, 20).select("user_id", "island", "spk", "number")
 
 
 @query("""
-SELECT user_id, event_type, round(d, 4) AS duration FROM (SELECT user_id, event_type, sum(value) AS d, min(event_id) AS f FROM events GROUP BY ALL)
-QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(d, 4) DESC, f) <= 2""")
+WITH d AS (SELECT user_id, event_type, round(sum(value), 4) AS duration, min(event_id) AS f FROM events GROUP BY ALL),
+top AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY duration DESC, f) <= 2)
+SELECT user_id, event_type, duration, (row_number() OVER (PARTITION BY user_id ORDER BY event_type) - 1)::INT AS idx FROM top""")
 def top2_by_duration(t):
-    sums = t("events").groupBy("user_id", "event_type").agg(F.round(F.sum("value"), 4).alias("duration"), F.min("event_id").alias("f"))
-    return S.cap_per_key(sums, "user_id", [F.desc("duration"), "f"], 2).drop("f")
+    sums = S.durations(t("events"), "user_id", "event_type", F.col("value"), F.col("event_id"))
+    return S.most_active(sums, "user_id", "event_type").select("user_id", "event_type", "duration", "idx")
 
 
 # ---- sentences ----------------------------------------------------------------------
@@ -624,9 +721,9 @@ def _holed(t):
 WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
 h AS (SELECT vec_id, i, {_BAD} AS v FROM x),
 m AS (SELECT i, avg(v) AS m FROM h WHERE vec_id % 17 <> 0 GROUP BY i)
-SELECT vec_id, round(coalesce(v, m), 6) AS x3 FROM h JOIN m USING (i) WHERE i = 3""")
+SELECT vec_id, i::INT AS i, round(coalesce(v, m), 6) AS v FROM h JOIN m USING (i)""")
 def nan_impute(t):
-    return E.impute_mean(_holed(t), "embedding", 64).select("vec_id", r6(F.col("embedding")[3]).alias("x3"))
+    return E.impute_mean(_holed(t), "embedding", 64).select("vec_id", F.posexplode("embedding").alias("i", "v")).withColumn("v", r6("v"))
 
 
 @query("SELECT vec_id, label FROM embeddings WHERE vec_id % 17 <> 0")
@@ -644,27 +741,76 @@ def loso_folds(t):
     return rows.unpivot("fold", ["test", "train"], "role", "n").where("n > 0")
 
 
-_CENTROID = """
-WITH x AS (SELECT vec_id, vec_id % 5 AS g, (label >= 5)::INT AS y, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+#: What becomes of a component that is not finite, and of its row.
+_MODES = {
+    "nanmean": "SELECT h.vec_id, i, coalesce(v, m) AS v FROM h JOIN (SELECT i, avg(v) AS m FROM h WHERE vec_id % 17 <> 0 GROUP BY i) USING (i)",
+    "drop": "SELECT vec_id, i, v FROM h WHERE vec_id % 17 <> 0",
+    "zero": "SELECT vec_id, i, coalesce(v, 0) AS v FROM h",
+}
+
+
+def _centroid_sql(mode: str) -> str:
+    return f"""
+WITH h AS (SELECT vec_id, i, {_BAD} AS v FROM (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings)),
+x AS (SELECT f.*, f.vec_id % 5 AS g, (label >= 5)::INT AS y FROM ({_MODES[mode]}) f JOIN embeddings USING (vec_id)),
 m AS (SELECT f.g, y, i, avg(v) AS m FROM x, (SELECT DISTINCT g FROM x) f WHERE x.g <> f.g GROUP BY ALL),
 d AS (SELECT vec_id, x.g, x.y, m.y AS cls, round(sum((v - m) ** 2), 6) AS d FROM x JOIN m ON x.g = m.g AND x.i = m.i GROUP BY ALL),
-p AS (SELECT vec_id, g AS grp, y, arg_min(cls, (d, cls)) AS pred FROM d GROUP BY ALL)"""
+p AS (SELECT vec_id, g AS grp, y, arg_min(cls, (d, cls)) AS pred, round(sum(CASE cls WHEN 0 THEN d ELSE -d END), 4) + 0.0::DOUBLE AS score FROM d GROUP BY ALL)"""
+
+
+def _loso(t, mode="nanmean", learner="centroid"):
+    rows = _holed(t).select("vec_id", (F.col("vec_id") % 5).alias("grp"), (F.col("label") >= 5).cast("int").alias("y"), "embedding")
+    return E.loso_cv(rows, "vec_id", "grp", "y", "embedding", 64, learner, mode).withColumn("score", F.round("score", 4) + F.lit(0.0))
+
 
+for _m in E.IMPUTE_MODES:
 
-def _centroids(t):
-    rows = t("embeddings").select("vec_id", (F.col("vec_id") % 5).alias("grp"), (F.col("label") >= 5).cast("int").alias("y"), "embedding")
-    return E.centroid_predictions(rows, "vec_id", "grp", "y", "embedding")
+    def _one_mode(t, m=_m):
+        return _loso(t, m).select("vec_id", "grp", "y", "pred", "score")
 
+    _one_mode.__name__ = f"loso_centroid_{_m}"
+    query(_centroid_sql(_m) + " SELECT vec_id, grp, y, pred, score FROM p")(_one_mode)
 
-@query(_CENTROID + " SELECT vec_id, grp, y, pred FROM p")
+
+@query(_centroid_sql("nanmean") + " SELECT vec_id, grp, y, pred FROM p")
 def loso_centroid(t):
-    return _centroids(t)
+    return _loso(t).select("vec_id", "grp", "y", "pred")
 
 
-@query(_CENTROID + " SELECT grp, round(avg((y = pred)::INT), 6) AS acc, count(*) AS n FROM p GROUP BY grp")
+@query(_centroid_sql("nanmean") + " SELECT grp, round(avg((y = pred)::INT), 6) AS acc, count(*) AS n FROM p GROUP BY grp")
 def per_speaker_accuracy(t):
-    hit = (F.col("y") == F.col("pred")).cast("double")
-    return _centroids(t).groupBy("grp").agg(r6(F.avg(hit)).alias("acc"), F.count("*").alias("n"))
+    return E.per_group(_loso(t), "grp", "vec_id").withColumn("acc", r6("acc"))
+
+
+@query(_centroid_sql("nanmean") + """
+SELECT grp, array_to_string(list(pred ORDER BY vec_id), ',') AS preds, array_to_string(list(y ORDER BY vec_id), ',') AS truth,
+       md5(array_to_string(list(printf('%.4f', score) ORDER BY vec_id), ',')) AS scores FROM p GROUP BY grp""")
+def per_speaker_record(t):
+    got = E.per_group(_loso(t), "grp", "vec_id", lists=True)
+    told = F.array_join(F.transform("scores", lambda x: F.format_string("%.4f", x)), ",")
+    return got.select(
+        "grp", F.array_join("preds", ",").alias("preds"), F.array_join("true", ",").alias("truth"), F.md5(told.cast("binary")).alias("scores")
+    )
+
+
+@query(" UNION ALL ".join(
+    f"SELECT * FROM ({_centroid_sql(m)} SELECT '{m}' AS mode, round(avg((y = pred)::INT), 6) AS acc, count(*) AS n FROM p)" for m in E.IMPUTE_MODES
+))
+def loso_accuracy(t):
+    out = None
+    for m in E.IMPUTE_MODES:
+        part = E.accuracy(_loso(t, m)).select(F.lit(m).alias("mode"), r6("acc").alias("acc"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(_centroid_sql("nanmean") + """,
+b AS (SELECT score AS s, sum((y = 1)::INT) AS p, sum((y <> 1)::INT) AS n FROM p GROUP BY score),
+c AS (SELECT sum(p) OVER w AS cp, sum(n) OVER w AS cn, (SELECT sum(p) FROM b) AS tp, (SELECT sum(n) FROM b) AS tn
+      FROM b WINDOW w AS (ORDER BY s DESC))
+SELECT round(coalesce(min((cn / tn + 1 - cp / tp) / 2) FILTER (WHERE abs(cn / tn - (1 - cp / tp)) < 0.01), 1.0) * 100, 6) AS eer FROM c""")
+def loso_eer(t):
+    return E.equal_error_rate(_loso(t), "y", "score").withColumn("eer", r6("eer"))
 
 
 @query("""
@@ -678,11 +824,15 @@ def eer(t):
     return E.equal_error_rate(rows, "quality", "n_chars").withColumn("eer", r6("eer"))
 
 
+#: Rounds of boosting in registered queries; 300 are the default.
+BOOSTING_ROUNDS = 30
+
+
 def _fits(name):
     def run(t):
-        rows = t("embeddings").select((F.col("vec_id") % 3).alias("grp"), (F.col("label") >= 5).cast("int").alias("y"), "embedding")
-        out = E.loso(rows, "grp", "y", "embedding", E.classifiers(trees=10, rounds=5)[name])
-        return out.groupBy("grp").agg(F.count("*").alias("n"), F.avg((F.col("y") == F.col("pred")).cast("double")).alias("acc"))
+        rows = t("embeddings").select("vec_id", (F.col("vec_id") % 3).alias("grp"), (F.col("label") >= 5).cast("int").alias("y"), "embedding")
+        learner = E.classifiers(rounds=300 if name == "svm" else BOOSTING_ROUNDS)[name]
+        return E.per_group(E.loso_cv(rows, "vec_id", "grp", "y", "embedding", 64, learner), "grp", "vec_id").select("grp", "n", "acc")
 
     run.__name__ = f"loso_{name}"
     return run
@@ -694,9 +844,28 @@ for _name in ("rf", "gb", "lr", "svm", "xgb"):
 
 @query()
 def ablation_grid(t):
-    rows = t("embeddings").select((F.col("vec_id") % 2).alias("grp"), (F.col("label") >= 5).cast("int").alias("y"), "embedding")
-    sets = {"low": F.slice("embedding", 1, 8), "high": F.slice("embedding", 33, 8)}
-    return E.ablation_grid(rows, "grp", "y", sets, ["lr", "rf"], trees=5, rounds=3)
+    rows = t("embeddings").select("vec_id", (F.col("vec_id") % 2).alias("grp"), (F.col("label") >= 5).cast("int").alias("y"), "embedding")
+    sets = {"low": (F.slice("embedding", 1, 32), 32), "high": (F.slice("embedding", 33, 32), 32)}
+    made = E.classifiers(rounds=BOOSTING_ROUNDS)
+    return E.ablation_grid(rows, "vec_id", "grp", "y", sets, {n: made[n] for n in ("lr", "rf")})
+
+
+def _half_sql(name: str, condition: str) -> str:
+    return f"""
+SELECT * FROM (WITH x AS (SELECT vec_id, vec_id % 2 AS g, (label >= 5)::INT AS y, i, v FROM (
+  SELECT vec_id, label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings) WHERE {condition}),
+m AS (SELECT f.g, y, i, avg(v) AS m FROM x, (SELECT DISTINCT g FROM x) f WHERE x.g <> f.g GROUP BY ALL),
+d AS (SELECT vec_id, x.g, x.y, m.y AS cls, round(sum((v - m) ** 2), 6) AS d FROM x JOIN m ON x.g = m.g AND x.i = m.i GROUP BY ALL),
+p AS (SELECT vec_id, y, arg_min(cls, (d, cls)) AS pred FROM d GROUP BY ALL)
+SELECT '{name}' AS feature, 'centroid' AS classifier, round(avg((y = pred)::INT), 6) AS acc, 2::BIGINT AS n_train FROM p)"""
+
+
+@query(_half_sql("low", "i < 32") + " UNION ALL " + _half_sql("high", "i >= 32"))
+def ablation_centroid(t):
+    rows = t("embeddings").select("vec_id", (F.col("vec_id") % 2).alias("grp"), (F.col("label") >= 5).cast("int").alias("y"), "embedding")
+    sets = {"low": (F.slice("embedding", 1, 32), 32), "high": (F.slice("embedding", 33, 32), 32)}
+    grid = E.ablation_grid(rows, "vec_id", "grp", "y", sets, {"centroid": "centroid"})
+    return grid.select("feature", "classifier", r6("acc").alias("acc"), F.col("n_train").cast("long").alias("n_train"))
 
 
 @query("""SELECT name, large FROM (VALUES ('alcaim', TRUE), ('cml_tts', TRUE), ('certas_palavras', FALSE), ('yodas', FALSE)) AS c(name, large) WHERE NOT large""")

@@ -13,6 +13,32 @@ ANNOTATIONS = (
 )
 
 
+#: The columns of an annotation file, in order.
+ANNOTATION_COLUMNS = "dataset speaker annotator source s_coda r_coda dt_palat gold notes updated_at".split()
+
+
+def load_annotations(spark: SparkSession, db: str | None = None, csv: str | None = None, default_db: str | None = None) -> DataFrame:
+    """Annotation rows: of the named SQLite file, which must be there; else of the default one if
+    it is there; else of the CSV file."""
+    import os
+
+    from ..config import ANNOTATIONS_DB
+
+    if db is not None and not os.path.exists(db):
+        raise FileNotFoundError(db)
+    path = db or default_db or ANNOTATIONS_DB
+    if os.path.exists(path):
+        return read_annotations_db(spark, path)
+    if csv is None:
+        raise FileNotFoundError(f"neither {path} nor a CSV file")
+    return read_annotations(spark, csv)
+
+
+def write_annotations(rows: DataFrame, path: str) -> None:
+    """The ten columns as CSV; others are left out."""
+    write_csv(rows, path, ANNOTATION_COLUMNS, ["dataset", "speaker", "annotator"])
+
+
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.csv(path, schema=ANNOTATIONS, header=True, multiLine=True, escape='"')
     return rows.withColumn("source", F.coalesce("source", F.lit("human")))
@@ -79,20 +105,26 @@ def write_features(features: DataFrame, path: str) -> None:
 
 
 def write_npz(features: DataFrame, path: str) -> list[str]:
-    """One .npz for each feature, written by the executors' tasks; a feature's speakers are few."""
+    """One .npz for each feature in a folder that all executors share, through the engine-neutral
+    file system of its URI; a feature's speakers are few and are one task's."""
+    base = path if "://" in path else f"file://{path}"
 
     def save(frame):
-        import os
+        import io
 
         import numpy as np
         import pandas as pd
+        from pyarrow import fs
 
+        system, root = fs.FileSystem.from_uri(base)
         name = frame["feature"].iloc[0]
         frame = frame.sort_values("speaker")
-        os.makedirs(path, exist_ok=True)
-        to = os.path.join(path, f"{name}.npz")
-        np.savez(to, speaker=frame["speaker"].to_numpy(str), vector=np.stack(frame["vector"]).astype(np.float32))
-        return pd.DataFrame({"path": [to]})
+        out = io.BytesIO()
+        np.savez(out, speaker=frame["speaker"].to_numpy(str), vector=np.stack(frame["vector"]).astype(np.float32))
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(f"{root}/{name}.npz") as stream:
+            stream.write(out.getvalue())
+        return pd.DataFrame({"path": [f"{path}/{name}.npz"]})
 
     out = features.select("feature", "speaker", "vector").groupBy("feature").applyInPandas(save, "path string")
     return sorted(r["path"] for r in out.collect())
