@@ -229,3 +229,35 @@ def test_language_ties_and_long_texts(spark):
     df = spark.createDataFrame([(1, "le chat noir dort ici")], "doc_id long, text string")
     got = language_id.detect(df, {"x": b"le chat", "y": b"le chat"}).first()
     assert got["lang_pred"] == "x" and got["lang_rejected"] and got["lang_margin"] == 0
+
+
+def test_sizes_and_verdicts_of_texts_by_hand(spark, data):
+    """Sizes worked out here with zstandard; long texts made of known ones keep their language and margin."""
+    import zstandard as zs
+
+    docs = data("documents").where("lang is not null and text is not null")
+    model = language_id.learn(docs)
+    rows = {r["lang"]: r["text"] for r in docs.where("length(text) > 500").orderBy("doc_id").collect()}
+    texts = {}
+    for k, (lang, text) in enumerate(sorted(rows.items())):
+        words = text.split()
+        random.Random(k).shuffle(words)
+        texts[2 * k] = (lang, text)
+        texts[2 * k + 1] = (lang, " ".join(random.Random(k).choices(words, k=300_000)))
+    df = spark.createDataFrame([(i, t) for i, (_, t) in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_id.detect(df, model).collect()}
+    params = zs.ZstdCompressionParameters.from_level(
+        language_id.LEVEL, source_size=language_id.BLOCK_BYTES, dict_size=language_id.MAX_BYTES, write_content_size=False, write_dict_id=False
+    )
+    for i, (lang, text) in texts.items():
+        data_ = language_id.letters(text)
+        sizes = {}
+        for name, content in model.items():
+            d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=params)
+            c = zs.ZstdCompressor(dict_data=d, compression_params=params)
+            step = language_id.BLOCK_BYTES
+            sizes[name] = sum(len(c.compress(data_[k : k + step])) for k in range(0, len(data_), step))
+        first, second = sorted(sizes.values())[:2]
+        assert sizes[got[i]["lang_pred"]] == first and abs(got[i]["lang_margin"] - (second / first - 1)) < 1e-12
+        assert got[i]["lang_pred"] == lang and not got[i]["lang_rejected"], (i, lang)

@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-A text's letters are encoded once per language with zstandard and that language's
-raw-content dictionary; the language with the smallest encoding is predicted, and a text
+A text's letters are encoded once per language, in blocks, with zstandard and that language's
+raw-content dictionary; sizes are summed over the whole text; the language with the smallest encoding is predicted, and a text
 whose two best encodings are too close is rejected. Letters are lower-cased, everything
 else separates words, and a word that repeats at once counts once: runs of one word and
 markup compress alike in every language.
@@ -29,6 +29,9 @@ UNDETERMINED = "und"
 #: of the passage taken from each, the bytes of the dictionary, the languages.
 MAX_DOCS, PASSAGE_WORDS, MAX_BYTES, MAX_LANGS = 2000, 24, 256 * 1024, 200
 LEVEL = 3
+#: A text is encoded in blocks of so many bytes, each with the dictionary at hand, so that a long
+#: text tells languages apart as well as a short one.
+BLOCK_BYTES = 16 * 1024
 #: A text is rejected if second / best - 1 of the encoded sizes is below this.
 MIN_MARGIN = 0.002
 _LETTER = r"\p{L}"
@@ -93,7 +96,8 @@ def _judge(texts: pd.Series, coders: list, langs: list[str], min_margin: float):
         if not langs or not data:
             yield UNDETERMINED, 0.0, 0.0, True
             continue
-        sizes = [len(c.compress(data)) for c in coders]
+        blocks = [data[at : at + BLOCK_BYTES] for at in range(0, len(data), BLOCK_BYTES)]
+        sizes = [sum(len(c.compress(b)) for b in blocks) for c in coders]
         best = min(sizes)
         at = sizes.index(best)
         rest = min((s for k, s in enumerate(sizes) if k != at), default=2 * best + 8)
@@ -122,15 +126,15 @@ def detect(
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import zstandard as zs
 
+        # One set of parameters for all, whatever the sizes of texts and dictionaries.
+        params = zs.ZstdCompressionParameters.from_level(
+            level, source_size=BLOCK_BYTES, dict_size=MAX_BYTES, write_content_size=False, write_dict_id=False
+        )
         coders = []
         for lang in langs:
             content = zs.ZstdCompressionDict(model[lang], dict_type=zs.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=level)
-            coders.append(
-                zs.ZstdCompressor(
-                    level=level, dict_data=content, write_content_size=False, write_dict_id=False
-                )
-            )
+            content.precompute_compress(compression_params=params)
+            coders.append(zs.ZstdCompressor(dict_data=content, compression_params=params))
         for texts in batches:
             yield pd.DataFrame(
                 _judge(texts, coders, langs, min_margin),
