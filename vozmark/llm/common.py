@@ -15,6 +15,7 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 HOT_ROWS, HOT_SHARE = 2000, 0.001
 #: Rows of a few numbers up to this many are broadcast; beyond, joins shuffle.
 MAX_BROADCAST = 2_000_000
+BATCH_ROWS = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,6 +85,14 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], count: str, kind:
     return left.join(hot, keys).unionByName(cold)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows for the session: Python workers hold whole texts
+    and sets of a batch, and keep the memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage: spark.checkpoint.dir. A local session without the
     setting gets a temporary folder; on a cluster that folder would not be shared."""

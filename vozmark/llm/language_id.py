@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import carried, held_out, pick, words_of
+from .common import bound_batches, carried, held_out, pick, words_of
 
 UNDETERMINED = "und"
 #: Bounds of the sample that a language's dictionary is made of: its documents, the words
@@ -119,6 +119,7 @@ def detect(
     Columns of these names that are there already are replaced; with ``carry`` the caller's
     row stays whole, as a struct ``row``.
     """
+    bound_batches(docs.sparkSession)
     langs = list(model)
     schema = "lang_pred string, lang_score double, lang_margin double, lang_rejected boolean"
 

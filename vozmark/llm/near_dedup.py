@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, attach, pick, small
+from .common import Scratch, attach, bound_batches, pick, small
 
 SHINGLE, PERCENT = 5, 75
 PERMUTATIONS, BANDS = 128, 32
@@ -387,6 +387,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame) -> DataFrame:
     """(doc_id, th, n_shingles, component_id, kept) of every row, th being xxhash64 of its text."""
+    bound_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     rows = pick(docs, doc_id="long", text="string").withColumn("th", F.xxhash64("text"))
     signed = scratch.keep(signatures(rows))
