@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +17,8 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 HOT_ROWS, HOT_SHARE = 2000, 0.001
 #: Rows of a few numbers up to this many are broadcast; beyond, joins shuffle.
 MAX_BROADCAST = 2_000_000
-BATCH_ROWS = 1000
+#: Bounds of an Arrow batch, rows and bytes; a longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -86,11 +89,27 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], count: str, kind:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows for the session: Python workers hold whole texts
-    and sets of a batch, and keep the memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes for the session: Python
+    workers hold whole texts and sets of a batch. A smaller bound that is set already stays."""
+    for name, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.max{name}PerBatch"
+        if not 0 < int(spark.conf.get(key).removesuffix("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
+def tidy(kernel: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``kernel``, after which its worker gives free memory back to the system: an idle worker
+    stays for a while, beside what the executor runs next."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        yield from kernel(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
 
 
 def scratch_dir(spark: SparkSession) -> str:

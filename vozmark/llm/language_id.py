@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, carried, held_out, pick, words_of
+from .common import bound_batches, carried, held_out, pick, tidy, words_of
 
 UNDETERMINED = "und"
 #: Bounds of the sample that a language's dictionary is made of: its documents, the words
@@ -123,8 +123,7 @@ def detect(
     langs = list(model)
     schema = "lang_pred string, lang_score double, lang_margin double, lang_rejected boolean"
 
-    @F.pandas_udf(schema)
-    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         import zstandard as zs
 
         # One set of parameters for all, whatever the sizes of texts and dictionaries.
@@ -142,6 +141,10 @@ def detect(
                 columns=["lang_pred", "lang_score", "lang_margin", "lang_rejected"],
             )
 
+    @F.pandas_udf(schema)
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(encode)(batches)
+
     new = ["lang_pred", "lang_score", "lang_margin", "lang_rejected"]
     judged = carried(docs, [] if carry else new, text="string").select("row", judge("text").alias("lang"))
     return judged.select("row" if carry else "row.*", "lang.*")

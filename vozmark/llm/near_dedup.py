@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, attach, bound_batches, pick, small
+from .common import Scratch, attach, bound_batches, pick, small, tidy
 
 SHINGLE, PERCENT = 5, 75
 PERMUTATIONS, BANDS = 128, 32
@@ -121,7 +121,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield out.astype({"doc_id": "Int64", "fp1": "Int64", "fp2": "Int64"})
 
     schema = "doc_id long, th long, n long, fp1 long, fp2 long, sig binary, bands array<long>"
-    return docs.select("doc_id", "th", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "th", "text").mapInPandas(tidy(run), schema)
 
 
 def least_matches(k: int, percent: int = PERCENT, miss: float = MISS) -> int:
@@ -285,7 +285,7 @@ def with_sets(wanted: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame
             sets = [shingle_set(t).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"rep": batch["rep"], "items": sets})
 
-    sets = texts.mapInPandas(build, "rep long, items binary")
+    sets = texts.mapInPandas(tidy(build), "rep long, items binary")
     rows = wanted.select("rep", "n", "sig").join(sets, "rep").dropDuplicates(["rep"])
     return scratch.keep(rows)
 
@@ -413,7 +413,7 @@ def grouped(docs: DataFrame) -> DataFrame:
         """Links (a, b) found in rows (g, side, rep, comp)."""
         full = dealt.join(sets, "rep").select("g", "side", "rep", "comp", "n", "sig", "items")
         there = full.repartition("g").sortWithinPartitions("g")
-        return scratch.keep(there.mapInPandas(_linked(limits), "a long, b long"))
+        return scratch.keep(there.mapInPandas(tidy(_linked(limits)), "a long, b long"))
 
     # Every hub with the others of its buckets, each pair once.
     pairs = scratch.keep(buckets.where("rep <> hub").select("hub", "rep", "n").distinct())
