@@ -166,3 +166,36 @@ def test_lines_edge_cases(spark, documents):
     assert line_dedup.dedup_lines(documents).count() == 8
     assert line_dedup.dedup_lines(documents.limit(0)).count() == 0
     assert all(r["n_removed"] == 0 for r in line_dedup.dedup_lines(documents).collect())
+
+
+def test_batches_are_bounded_and_rows_beyond_the_bound_stay_whole(spark):
+    from pyspark.sql import functions as F
+
+    keys = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    old = [spark.conf.get(k) for k in keys]
+    try:
+        for k in keys:
+            spark.conf.unset(k)
+        common.bound_batches(spark)
+        assert [spark.conf.get(k) for k in keys] == [str(common.BATCH_ROWS), str(common.BATCH_BYTES)]
+        spark.conf.set(keys[0], "7")
+        spark.conf.set(keys[1], "4096")
+        common.bound_batches(spark)
+        assert [spark.conf.get(k) for k in keys] == ["7", "4096"]
+
+        def lengths(batches):
+            for b in batches:
+                assert len(b) <= 7
+                yield b.assign(n=b["text"].str.len())[["id", "n"]]
+
+        rows = spark.range(40).withColumn("text", F.expr("repeat('ab ', cast(if(id % 10 = 3, 20000, id) as int))"))
+        got = {r.id: r.n for r in rows.mapInPandas(common.tidy(lengths), "id long, n long").collect()}
+        assert got == {i: 3 * (20000 if i % 10 == 3 else i) for i in range(40)}
+    finally:
+        for k, v in zip(keys, old, strict=True):
+            spark.conf.set(k, v)
+
+
+def test_tidy_gives_all_of_an_empty_and_a_full_input():
+    assert list(common.tidy(lambda xs: (2 * x for x in xs))(iter([]))) == []
+    assert list(common.tidy(lambda xs: (2 * x for x in xs))(iter([1, 2]))) == [2, 4]
